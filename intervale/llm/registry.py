@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from intervale.llm import quality
+from intervale.llm import quality, secrets
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": quality.op1}
+    return {"op1_quality_rules": quality.op1, "op8_secret_scans": secrets.op8}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.OP1_SQL}
+    return {"op1_quality_rules": quality.OP1_SQL, "op8_secret_scans": secrets.OP8_SQL}

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from intervale.llm import quality, secrets
+from intervale.llm import mixing, quality, secrets
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": quality.op1, "op8_secret_scans": secrets.op8}
+    return {"op1_quality_rules": quality.op1, "op5_mixing_sources": mixing.op5, "op8_secret_scans": secrets.op8}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.OP1_SQL, "op8_secret_scans": secrets.OP8_SQL}
+    return {"op1_quality_rules": quality.OP1_SQL, "op5_mixing_sources": mixing.OP5_SQL, "op8_secret_scans": secrets.OP8_SQL}

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from intervale.llm import mixing, quality, secrets
+from intervale.llm import media, mixing, quality, secrets, warc
 
 
 def queries() -> dict:
-    return {"op1_quality_rules": quality.op1, "op5_mixing_sources": mixing.op5, "op8_secret_scans": secrets.op8}
+    return {
+        "op1_quality_rules": quality.op1,
+        "op5_mixing_sources": mixing.op5,
+        "op7_warc": warc.op7,
+        "op8_secret_scans": secrets.op8,
+        "op10_media_columns": media.op10,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": quality.OP1_SQL, "op5_mixing_sources": mixing.OP5_SQL, "op8_secret_scans": secrets.OP8_SQL}
+    return {
+        "op1_quality_rules": quality.OP1_SQL,
+        "op5_mixing_sources": mixing.OP5_SQL,
+        "op7_warc": warc.OP7_SQL,
+        "op8_secret_scans": secrets.OP8_SQL,
+    }

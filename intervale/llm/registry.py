@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from intervale.llm import media, mixing, quality, secrets, warc
+from intervale.llm import jaccard, media, mixing, pieces, quality, secrets, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1,
+        "op2_ngram_jaccard_join": jaccard.op2,
         "op5_mixing_sources": mixing.op5,
         "op7_warc": warc.op7,
         "op8_secret_scans": secrets.op8,
+        "op9_sentencepiece": pieces.op9,
         "op10_media_columns": media.op10,
     }
 

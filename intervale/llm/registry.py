@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from intervale.llm import jaccard, media, mixing, pieces, quality, secrets, warc
+from intervale.llm import jaccard, langid, media, mixing, pieces, quality, secrets, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1,
         "op2_ngram_jaccard_join": jaccard.op2,
+        "op3_toxicity": toxicity.op3,
+        "op4_language_id": langid.op4,
         "op5_mixing_sources": mixing.op5,
         "op7_warc": warc.op7,
         "op8_secret_scans": secrets.op8,

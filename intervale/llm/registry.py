@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from intervale.llm import jaccard, langid, media, mixing, pieces, quality, secrets, toxicity, warc
+from intervale.llm import jaccard, langid, lm, media, mixing, pieces, quality, secrets, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_toxicity": toxicity.op3,
         "op4_language_id": langid.op4,
         "op5_mixing_sources": mixing.op5,
+        "op6_lm_scoring": lm.op6,
         "op7_warc": warc.op7,
         "op8_secret_scans": secrets.op8,
         "op9_sentencepiece": pieces.op9,

@@ -1,11 +1,11 @@
 """Scoring texts by a hierarchical Pitman-Yor language model learnt from the whole corpus.
 
 A token is predicted in two steps. First its symbol: a frequent word is one, the others fall into classes by their last byte,
-and the end of a text is one; symbols are predicted from the one before, by context restaurants that share their
-parent. Then, within a class, the word: a restaurant for each class, whose dishes are its words and whose base spells the word
-backwards by a byte model with contexts of two bytes, one and none. All seatings are sampled by Gibbs sweeps and
-predictives averaged. What the driver holds is bounded: at most FREQUENT words by their share of all tokens, so at most the
-square of (FREQUENT + 258) symbol pairs, and byte contexts; words themselves stay in tables."""
+and the end of a text is one; symbols are predicted from the frequent word before them, right before or further back, by context
+restaurants that share their parent. Then, within a class, the word: a restaurant for each class, whose dishes are its words and whose base spells the word
+backwards by a byte model with contexts of three bytes, two, one and none. All seatings are sampled by Gibbs sweeps and
+predictives averaged. What the driver holds is bounded: at most FREQUENT words by their share of all tokens, so at most
+2 * (FREQUENT + 1) * (FREQUENT + 257) pairs of context and symbol, and folded byte contexts; words themselves stay in tables."""
 
 from __future__ import annotations
 
@@ -29,6 +29,9 @@ BROADCAST = 1_000_000
 #: Counters of a task are passed on when they hold so many words; words whose symbols a worker remembers.
 HELD = 300_000
 EDGE, BYTES = 256, 257
+#: Bits that contexts keep of their second and third byte; small letters differ in five.
+FOLD = 5
+FOLDED = (1 << FOLD) - 1
 #: Smoothing of the base score.
 ADD = 0.1
 _U = np.uint64
@@ -69,7 +72,9 @@ class Symbols(dict):
         super().__init__()
         self.of = {int(h): i for i, h in enumerate(frequent)}
         self.end = len(frequent) + 256
-        self.size = self.end + 2  # with the end and the start, which is never predicted
+        self.size = self.end + 1
+        #: Contexts: a frequent word right before; the last frequent word before, with others since; the start; others alone.
+        self.contexts = 2 * len(frequent) + 2
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= HELD:
@@ -77,24 +82,25 @@ class Symbols(dict):
         x = self[word] = self.of.get(_hash(word), len(self.of) + word[-1])
         return x
 
-    def text(self, words: list[bytes]) -> np.ndarray:
-        """Symbols of start, words and end."""
-        out = np.empty(len(words) + 2, np.int64)
-        out[0], out[-1] = self.end + 1, self.end
-        out[1:-1] = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return out
+    def text(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(context, symbol) of each word and of the end."""
+        n, f = len(words), len(self.of)
+        out = np.fromiter(map(self.__getitem__, words), np.int64, n)
+        at = np.maximum.accumulate(np.where(out < f, np.arange(n), -1)) if n else out
+        context = np.where(at == np.arange(n), out, np.where(at >= 0, f + out[at], 2 * f + 1))
+        return np.append(2 * f, context), np.append(out, self.end)
 
 
 def _pairs(docs: DataFrame, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code, n) of neighbouring symbols; each task sums into one array before anything is shuffled."""
+    """(code, n) of contexts with their symbols; each task sums into one array before anything is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Symbols(frequent)
-        total = np.zeros(s.size * s.size, np.int64)
+        total = np.zeros(s.contexts * s.size, np.int64)
         for b in batches:
             for raw in b.column(0):
-                x = s.text(tokens(raw.as_py()))
-                np.add.at(total, x[:-1] * s.size + x[1:], 1)
+                context, x = s.text(tokens(raw.as_py()))
+                np.add.at(total, context * s.size + x, 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
 
@@ -107,20 +113,23 @@ def _arrays(df: DataFrame) -> tuple[np.ndarray, ...]:
     return tuple(c.to_numpy(zero_copy_only=False) for c in got.columns)
 
 
-def _spelt(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Steps of spelling words backwards, their last bytes given: (byte two after, byte after, byte or EDGE, where each word begins)."""
+def _spelt(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Steps of spelling words backwards, their last bytes given: (context, byte or EDGE, where each word begins). A context is
+    the byte after, and of the two after that their lowest FOLD bits."""
     size = np.fromiter(map(len, words), np.int64, len(words))
     first = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64)
     own = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
-    before, after = np.empty_like(own), np.empty_like(own)
-    before[1:], after[:-1] = own[:-1], own[1:]
-    before[first], after[first + size - 1] = EDGE, EDGE
-    return after, own, before, first
+    before, two = np.empty_like(own), np.empty_like(own)
+    before[1:], two[:-1] = own[:-1], own[1:]
+    before[first], two[first + size - 1] = EDGE, EDGE
+    three = np.append(two[1:], EDGE) if len(own) else two
+    three[first + size - 1] = EDGE
+    return (own << FOLD | two & FOLDED) << FOLD | three & FOLDED, before, first
 
 
 @dataclass
 class Speller:
-    """log10 probabilities: ``row`` of each context of two bytes, the rows' table, and that of contexts not met."""
+    """log10 probabilities: ``row`` of each context, the rows' table."""
 
     row: np.ndarray
     table: np.ndarray
@@ -128,33 +137,32 @@ class Speller:
     def log10(self, words: list[bytes]) -> np.ndarray:
         if not words:
             return np.empty(0)
-        two, one, dish, first = _spelt(words)
-        return np.add.reduceat(self.table[self.row[two * BYTES + one], dish].astype(float), first)
+        context, dish, first = _spelt(words)
+        return np.add.reduceat(self.table[self.row[context], dish].astype(float), first)
 
 
 def fit_speller(code: np.ndarray, n: np.ndarray) -> Speller:
-    context, dish = code // BYTES, code % BYTES
-    met, at = np.unique(context, return_inverse=True)
-    one, back = np.unique(met % BYTES, return_inverse=True)
-    # contexts not met: those of a single byte, as contexts of their own that nothing was seen in
-    extra = np.arange(BYTES)
-    ones = np.union1d(one, extra)
-    sizes = [len(met) + BYTES, len(ones), 1]
-    shorten = [np.concatenate([np.searchsorted(ones, met % BYTES), np.searchsorted(ones, extra)]), np.zeros(len(ones), np.int64)]
-    p = Model(at, dish, n, sizes, shorten, BYTES).predictive()
-    row = len(met) + np.tile(np.arange(BYTES), BYTES)
+    """Restaurants of three, two, one and no bytes; contexts never met leave all to those a byte shorter."""
+    met, at = np.unique(code // BYTES, return_inverse=True)
+    shorter = np.arange(BYTES << FOLD)
+    shorten = [np.concatenate([met >> FOLD, shorter]), shorter >> FOLD, np.zeros(BYTES, np.int64)]
+    p = Model(at, code % BYTES, n, [len(met) + len(shorter), len(shorter), BYTES, 1], shorten, BYTES).predictive()
+    row = len(met) + np.repeat(shorter, 1 << FOLD)
     row[met] = np.arange(len(met))
-    return Speller(row.astype(np.int32), np.log10(np.maximum(p, 1e-300)).astype(np.float32))
+    return Speller(row.astype(np.int32), np.log10(np.maximum(p, 1e-30)).astype(np.float32))
 
 
 def _letters(rare: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(code, n) of the spelling steps of the distinct words."""
+    """(code, n) of the spelling steps of the distinct words, summed in each task first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, counts = np.empty(0, np.int64), np.empty(0, np.int64)
         for b in batches:
-            two, one, dish, _ = _spelt(b.column(0).to_pylist()) if b.num_rows else (np.empty(0, np.int64),) * 4
-            code, n = np.unique((two * BYTES + one) * BYTES + dish, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
+            context, dish, _ = _spelt(b.column(0).to_pylist())
+            code, n = np.unique(context * BYTES + dish, return_counts=True)
+            codes, back = np.unique(np.concatenate([codes, code]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, n]), len(codes)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], ["code", "n"])
 
     return _arrays(rare.select("word").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")))
 
@@ -222,7 +230,7 @@ def fit_classes(rare: DataFrame, speller: Speller) -> Classes:
 
 @dataclass
 class Shared:
-    """What every task has: symbols' log10 probabilities by (symbol before, symbol), and words from one in BROADCAST tokens on."""
+    """What every task has: symbols' log10 probabilities by (context, symbol), and words from one in BROADCAST tokens on."""
 
     frequent: np.ndarray
     table: np.ndarray
@@ -264,8 +272,7 @@ def fit(docs: DataFrame) -> tuple[Shared, DataFrame]:
     frequent = np.sort(np.array([r[0] for r in counts.where(F.col("n") * FREQUENT >= F.lit(n_all)).select("h").collect()], np.int64).view(_U))
     s = Symbols(frequent)
     code, n = _pairs(docs, frequent)
-    shorten = [np.zeros(s.size, np.int64)]
-    p = Model(code // s.size, code % s.size, n, [s.size, 1], shorten, s.size).predictive()
+    p = Model(code // s.size, code % s.size, n, [s.contexts, 1], [np.zeros(s.contexts, np.int64)], s.size).predictive()
     rare = _with_class(counts, frequent)
     speller = fit_speller(*_letters(rare))
     classes = fit_classes(rare, speller)
@@ -310,10 +317,10 @@ def score_texts(docs: DataFrame, shared: Shared, words: DataFrame, held_out: str
             out: list[list] = [[] for _ in names]
             for doc, raw, aside in zip(*(b.column(i) for i in range(3)), strict=True):
                 w = tokens(raw.as_py())
-                x = s.text(w)
+                context, x = s.text(w)
                 at = np.fromiter(map(known.__getitem__, w), np.int64, len(w))
                 hit = at[at >= 0]
-                logs = float(m.table[x[:-1], x[1:]].sum(dtype=float)) + float(m.words[hit].sum())
+                logs = float(m.table[context, x].sum(dtype=float)) + float(m.words[hit].sum())
                 rest = Counter([t for t, i in zip(w, at.tolist(), strict=True) if i < 0])
                 doc, aside = doc.as_py(), aside.as_py()
                 n = len(rest)

@@ -117,20 +117,22 @@ class Model:
     def dense(self, k: int) -> np.ndarray:
         """Predictive probabilities (context, dish) at level k under the present seating."""
         if k == len(self.levels):
-            return np.full((1, self.dishes), 1 / self.dishes)
+            return np.full((1, self.dishes), 1 / self.dishes, np.float32)
         above = self.dense(k + 1)
         own, left = self.levels[k].shares(self.sizes[k])
         shorter = self.shorten[k] if k + 1 < len(self.levels) else np.zeros(self.sizes[k], np.int64)
-        out = left[:, None] * above[shorter]
-        np.add.at(out, (self.levels[k].context, self.levels[k].dish), own)
+        out = above[shorter]
+        out *= left[:, None].astype(np.float32)
+        out[self.levels[k].context, self.levels[k].dish] += own.astype(np.float32)  # a row's cell is its own
         return out
 
     def predictive(self) -> np.ndarray:
         """Probabilities of the longest contexts' dishes, averaged over SAMPLES sweeps after BURN."""
         for _ in range(BURN):
             self.sweep()
-        total = np.zeros((self.sizes[0], self.dishes))
+        total = np.zeros((self.sizes[0], self.dishes), np.float32)
         for _ in range(SAMPLES):
             self.sweep()
             total += self.dense(0)
-        return total / SAMPLES
+        total /= SAMPLES
+        return total

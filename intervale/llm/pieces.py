@@ -5,15 +5,20 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator, Sequence
 from functools import cache
 from hashlib import sha256
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
+
+from intervale.llm.common import pieces_of
 
 META = "▁"
 #: Distinct chunks a Python worker keeps encoded in each of its two generations.
@@ -64,8 +69,8 @@ class Pieces:
         self.raw = {i: p.encode() for i, p in self.piece.items()}
         self.decimal = {i: str(i).encode() for i in [*self.piece, *self.of_byte]}
         self.fits: dict[int, bool] = {}
-        self.young: dict[str, tuple[int, bytes, bytes]] = {}
-        self.old: dict[str, tuple[int, bytes, bytes]] = {}
+        self.young: dict = {}
+        self.old: dict = {}
         self.split = re.compile(" *[^ \n]+| +|\n" if "\n" not in self.single else " *[^ ]+| +")
 
     def merge(self, text: str) -> list[int]:
@@ -206,39 +211,48 @@ class Pieces:
         text = self._bytes(ids).decode()
         return text[1:] if ids and self.piece.get(ids[0], "").startswith(" ") else text
 
-    def known(self, chunk: str) -> tuple[int, bytes, bytes]:
-        """(number of ids, ids in decimal joined by commas, decoded bytes) of a chunk with spaces; kept for frequent ones."""
-        if (got := self.old.get(chunk)) is None:
-            ids = self.chunk(chunk)
-            try:
-                raw = b"".join(map(self.raw.__getitem__, ids))
-            except KeyError:  # bytes
-                raw = self._bytes(ids)
-            got = len(ids), b",".join(map(self.decimal.__getitem__, ids)), raw
-        if len(chunk) <= 64:
-            if len(self.young) >= CACHE:
-                self.old, self.young = self.young, {}
-            self.young[chunk] = got
-        return got
-
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """(number of ids, SHA-256 of the ids in decimal joined by commas, SHA-256 of the decoded text) of a whole text."""
-        get, known = self.young.get, self.known
-        got = []
+    def _looked_up(self, text: str, make) -> list:
+        """``make(chunk)`` of each chunk of a text, from memory for those met lately. The memory has two generations of CACHE
+        chunks; a process uses it with one ``make``."""
+        get, got = self.young.get, []
         for c in self._chunks(text):
             x = get(c)
             if x is None:
-                x = known(c)
-                get = self.young.get
+                x = self.old.get(c)
+                if x is None:
+                    x = make(c)
+                if len(c) <= 64:
+                    if len(self.young) >= CACHE:
+                        self.old, self.young = self.young, {}
+                        get = self.young.get
+                    self.young[c] = x
             got.append(x)
+        return got
+
+    def _known(self, chunk: str) -> tuple[int, bytes, bytes]:
+        """(number of ids, ids in decimal joined by commas, decoded bytes) of a chunk."""
+        ids = self.chunk(chunk)
+        try:
+            raw = b"".join(map(self.raw.__getitem__, ids))
+        except KeyError:  # bytes
+            raw = self._bytes(ids)
+        return len(ids), b",".join(map(self.decimal.__getitem__, ids)), raw
+
+    def digest(self, text: str) -> tuple[int, str, str]:
+        """(number of ids, SHA-256 of the ids in decimal joined by commas, SHA-256 of the decoded text) of a whole text."""
+        got = self._looked_up(text, self._known)
         ids = b",".join([x[1] for x in got])
         back = b"".join([x[2] for x in got]).removeprefix(b" ")
         return sum([x[0] for x in got]), sha256(ids).hexdigest(), sha256(back).hexdigest()
 
+    def packed(self, text: str) -> bytes:
+        """Ids of a whole text as 32-bit integers."""
+        return b"".join(self._looked_up(text, lambda c: array("i", self.chunk(c)).tobytes()))
+
 
 @cache
-def load(path: str) -> Pieces:
-    """The model at ``path``, once a Python process."""
+def load(path: str, use: str = "") -> Pieces:
+    """The model at ``path``, once a Python process and use of its memory."""
     return Pieces(path)
 
 
@@ -251,13 +265,22 @@ def default_model() -> str:
 def encode_texts(docs: DataFrame, model: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with the ids of each whole text in the column ``ids``, which replaces one of that name; null counts as empty."""
     path = model or default_model()
+    if ids == text:
+        raise ValueError("the ids need a column of their own")
+    docs = docs.drop(ids)
+    at = docs.columns.index(text)
 
-    @F.pandas_udf("array<int>")
-    def run(s):
-        m = load(path)
-        return s.map(lambda t: m.encode(t or ""))
-
-    return docs.withColumn(ids, run(F.coalesce(F.col(text), F.lit(""))))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = load(path, "ids")
+        for b in batches:
+            for i, j in pieces_of([len(t.as_py() or "") for t in b.column(at)], 8 << 20):
+                part = b.slice(i, j - i)
+                packed = [m.packed(t.as_py() or "") for t in part.column(at)]
+                ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, ids])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(ids, ArrayType(IntegerType())))
 
 
 def decode_ids(df: DataFrame, model: str | None = None, ids: str = "ids", text: str = "text") -> DataFrame:

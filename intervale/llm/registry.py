@@ -5,6 +5,12 @@ from __future__ import annotations
 from intervale.llm import jaccard, langid, lm, media, mixing, pieces, quality, secrets, toxicity, warc
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1,
@@ -17,6 +23,7 @@ def queries() -> dict:
         "op8_secret_scans": secrets.op8,
         "op9_sentencepiece": pieces.op9,
         "op10_media_columns": media.op10,
+        "pipeline": _pipeline,
     }
 
 

@@ -35,10 +35,15 @@ def list_files(spark: SparkSession, pattern: str) -> list[tuple[str, int]]:
     return sorted((x.getPath().toString(), int(x.getLen())) for x in found or [] if x.isFile())
 
 
+def _uri(path: Column) -> Column:
+    """Local paths in one form, however they were listed."""
+    return F.regexp_replace(path, "^(file:)?/+", "file:///")
+
+
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """file_name, line, row_ord: positions grow along each file, also where a plain file is read in several splits."""
     text = spark.read.text(paths)
-    return text.select(F.col("_metadata.file_path").alias("file_name"), F.col("value").alias("line"), (F.col("_metadata.file_block_start") * (1 << 20) + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33))).alias("row_ord"))
+    return text.select(_uri(F.col("_metadata.file_path")).alias("file_name"), F.col("value").alias("line"), (F.col("_metadata.file_block_start") * (1 << 20) + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33))).alias("row_ord"))
 
 
 def _bed(lines: DataFrame) -> DataFrame:
@@ -72,8 +77,8 @@ def read_intervals(spark: SparkSession, pattern: str) -> Corpus:
     reason = F.when(short, "columns").when(F.col("end") < F.col("start"), "inverted")
     rows = rows.withColumn("reason", reason)
     good = rows.where("reason IS NULL").select("file_name", "chrom", "start", "end", "line", "row_ord")
-    names = spark.createDataFrame([(p if ":" in p.split("/")[0] else f"file://{p}",) for p in files], "file_name string")
-    return Corpus(good, rows.where("reason IS NOT NULL").select("file_name", "line", "reason"), names.withColumn("file_name", F.regexp_replace("file_name", "^file:/+", "file:///")))
+    names = spark.createDataFrame([(p,) for p in files], "file_name string")
+    return Corpus(good, rows.where("reason IS NOT NULL").select("file_name", "line", "reason"), names.withColumn("file_name", _uri(F.col("file_name"))))
 
 
 def read_genome(spark: SparkSession, path: str) -> DataFrame:

@@ -52,7 +52,7 @@ def _draw(n_all: str, n_own: str, n_take: str, u: str) -> str:
     """
     let = lambda name, value, body: f"transform(array({value}), {name} -> {body})[0]"
     low, high = f"greatest(0L, {n_take} - ({n_all} - {n_own}))", f"least({n_own}, {n_take})"
-    sd = f"40 * sqrt({n_take} * ({n_own} / {n_all}) * (1 - {n_own} / {n_all})) + 40"
+    sd = f"(40 * sqrt({n_take} * ({n_own} / {n_all}) * (1 - {n_own} / {n_all})) + 40)"
     mid = f"floor({n_take} * ({n_own} / {n_all}))"
     support = f"struct(greatest({low}, CAST({mid} - {sd} AS BIGINT)) AS lo, least({high}, CAST({mid} + {sd} AS BIGINT)) AS hi)"
     up = f"ln(({n_own} - k + 1.0D) * ({n_take} - k + 1.0D)) - ln(k * ({n_all} - {n_own} - {n_take} + k + 0.0D))"

@@ -169,7 +169,7 @@ def _spans(rule: Rule, position: int, wanted: Column) -> Column:
 
 
 def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
-    """One row for each input row: doc_id, the columns named in ``keep``, ``text`` where kept, and ``found``: an array of
+    """One row for each input row: doc_id; ``kept``, a struct of the columns named in ``keep``; and ``found``: an array of
     (s, k, e), start and exclusive end in code points and the rule's position, ordered by start, then rule.
 
     Null and empty texts have no spans. Repeated ids share postings, so each of their rows is verified; rows with a null
@@ -181,7 +181,7 @@ def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, doc_id: str = "
     full = {i for i, r in enumerate(rules) if trigram_query(r.pattern) == TRUE}
     wanted = lambda i: F.lit(True) if i in full else F.col("id").isNull() | (F.coalesce("of_rules", F.lit(0)).bitwiseAND(F.lit(1 << i)) != 0)
     spans = F.array_sort(F.concat(*(_spans(r, i, wanted(i)) for i, r in enumerate(rules))))
-    return d.select(F.col("id").alias("doc_id"), *(F.col(f"kept.{c}").alias(c) for c in keep if c != doc_id), spans.alias("found"))
+    return d.select(F.col("id").alias("doc_id"), "kept", spans.alias("found"))
 
 
 def _listed(found: Column, rules: Sequence[Rule]) -> Column:
@@ -192,7 +192,7 @@ def _listed(found: Column, rules: Sequence[Rule]) -> Column:
 def redact(docs: DataFrame, rules: Sequence[Rule] = RULES, mask: str = "[secret]") -> DataFrame:
     """``docs`` with every span of its texts, overlapping ones merged, replaced by ``mask``; other columns unchanged."""
     columns = docs.columns
-    found = scan_secrets(docs, rules, keep=columns).withColumn("doc", F.struct(*columns))
+    found = scan_secrets(docs, rules, keep=columns).withColumnRenamed("kept", "doc")
     merge = """aggregate(found, struct(0 AS at, CAST(array() AS array<string>) AS out),
         (a, x) -> CASE WHEN x.e <= a.at THEN a
                        WHEN x.s < a.at THEN struct(x.e AS at, a.out AS out)

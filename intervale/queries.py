@@ -430,6 +430,55 @@ def coverage_depth(spark, d):
     return recipes.coverage_depth(_intervals(spark, d))
 
 
+@_add("reorder_by_group", "SELECT n_name, r_name, row_number() OVER (ORDER BY r_name, n_name) - 1 AS place FROM nation JOIN region ON n_regionkey = r_regionkey")
+def reorder_by_group(spark, d):
+    return recipes.running_number(dictionary_join(spark, d), F.lit(0), "r_name", "n_name", name="place").withColumn("place", F.col("place").cast("long"))
+
+
+@_add("quality_lists", "SELECT s_suppkey FROM supplier WHERE s_acctbal > 0 AND s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) AND s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1)")
+def quality_lists(spark, d):
+    s = table(spark, d, "supplier").where("s_acctbal > 0")
+    include = table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey"))
+    exclude = table(spark, d, "lineitem").where("l_quantity >= 50 AND l_discount >= 0.1").select(F.col("l_suppkey").alias("s_suppkey"))
+    return recipes.drop_listed(recipes.keep_listed(s, include, "s_nationkey"), exclude, "s_suppkey").select("s_suppkey")
+
+
+@_add("matrix_coordinates", _with(FEATURES, QUERIES, HITS, FILES, COUNTS) + "SELECT fname, c AS overlaps, CASE WHEN fname LIKE 'A%' THEN 0 WHEN fname LIKE 'R%' THEN 1 END AS \"row\", CASE WHEN fname LIKE 'A%' OR fname LIKE 'R%' THEN CASE WHEN fname LIKE '%F' THEN 0 ELSE 1 END END AS col FROM counts")
+def matrix_coordinates(spark, d):
+    at = spark.createDataFrame([("A_F", 0, 0), ("A_O", 0, 1), ("R_F", 1, 0), ("R_O", 1, 1)], "fname string, row int, col int")
+    return _counts(spark, d).select("fname", "overlaps").join(F.broadcast(at), "fname", "left")
+
+
+def _index(spark, d):
+    import uuid
+
+    from intervale.plans.index import IntervalIndex, from_corpus
+    from intervale.sources.readers import Corpus
+    from intervale.tables import shared_dir
+
+    f = features(spark, d)
+    line = F.concat_ws("\t", *(F.col(c.name).cast("string") for c in CONF), F.col("id").cast("string"))
+    rows = f.select(F.col("fname").alias("file_name"), "chrom", "start", "end", line.alias("line"), F.col("id").alias("row_ord"))
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    from_corpus(Corpus(rows, rows.where("false"), rows.select("file_name").distinct()), CONF).save(path)
+    return IntervalIndex.load(spark, path)
+
+
+@_add("index_search_counts", _with(FEATURES, QUERIES, HITS, FILES) + "SELECT f.fname file_name, f.n num_intervals, f.mean mean_interval_size, count(h.fname) AS overlaps FROM files f LEFT JOIN (SELECT * FROM hits WHERE l_discount < 0.04) h USING (fname) WHERE f.fname LIKE '%O' GROUP BY ALL")
+def index_search_counts(spark, d):
+    from intervale.plans.search import Search
+
+    return Search(_index(spark, d), query_set(spark, d), where="l_discount<0.04", files=["O$"]).counts().drop("file_id")
+
+
+@_add("index_search_records", _with(FEATURES) + "SELECT fname file_name, id FROM features WHERE (chrom = '5' AND s <= 120000 AND e >= 30000) OR (chrom = '6' AND s <= 9000 AND e >= 10)")
+def index_search_records(spark, d):
+    from intervale.plans.search import Search
+
+    r = Search(_index(spark, d), "chr5:30000-120000,6:10-9000").records()
+    return r.select("file_name", F.element_at(F.split("line", "\t"), -1).cast("long").alias("id"))
+
+
 @_add("random_overlaps", None)
 def random_overlaps(spark, d):
     genome = spark.createDataFrame([(str(i + 1), 2_000_000) for i in range(22)], "chrom string, length bigint")

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +21,15 @@ from intervale.llm.graph import components
 WORDS, PERCENT = 5, 80
 #: Distinct words whose hashes a Python worker keeps.
 WORD_CACHE = 400_000
-#: Bits of the parity sketch that filters pairs before their sets are intersected.
-SKETCH_BITS = 1024
+#: Bits, at least, of the parity sketch that filters pairs before their sets are intersected.
+SKETCH_BITS = 512
+#: A key with more documents is large: its documents are compared in blocks of about BLOCK.
+LARGE, BLOCK = 32, 2048
+#: Members of a large key's largest component that other documents are first tried with, in one of SOME of their large keys; and rounds in
+#: which each document's nearest is verified before all that is left.
+TRIES, SOME, ROUNDS = 32, 8, 2
+#: Part keys that a task pre-aggregates at a time.
+ROWS = 1_500_000
 _U = np.uint64
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
 
@@ -45,7 +53,7 @@ def differ(a: int, b: int) -> int:
 def parts(band: int) -> int:
     """Parts of a sketch in a band: one more than two sets of the band can differ in, and some for parts left empty."""
     most = differ(BANDS[band + 1] - 1, BANDS[band + 1] - 1)
-    return 0 if most == 0 else most + 1 + max(2, -(-most // 16))
+    return 1 if most == 0 else most + 1 + max(2, -(-most // 16))
 
 
 class _Words(dict):
@@ -96,8 +104,6 @@ def part_keys(h: np.ndarray) -> np.ndarray:
     out = []
     for band in range(bisect_right(BANDS, n) - 1, bisect_right(BANDS, most)):
         p = parts(band)
-        if p == 0:
-            continue
         at = ((h >> _U(32)) * _U(p) >> _U(32)).astype(np.int64)  # h is sorted, so a part's tokens lie together
         first = np.flatnonzero(np.diff(at, prepend=-1))
         value = np.bitwise_xor.reduceat(_mix(h ^ _U(0xA5A5A5A5)), first)
@@ -111,17 +117,29 @@ def part_keys(h: np.ndarray) -> np.ndarray:
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
-    """Parity bits: each token flips one, so sketches differ in at most as many bits as their sets in tokens."""
-    bits = np.bincount((h & _U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(bool))
+    """Parity bits as 64-bit words: each token flips one, so sketches differ in at most as many bits as their sets in tokens.
+    At least SKETCH_BITS and two bits a token, a power of two, so that a longer one folds onto a shorter."""
+    size = max(SKETCH_BITS, 1 << (2 * len(h) - 1).bit_length() if len(h) else 0)
+    bits = np.bincount((h & _U(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(bool)).view(_U)
+
+
+def _folded(x: np.ndarray, words: int) -> np.ndarray:
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def distance(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits that two sketches differ in, the longer folded: no more than their sets differ in tokens."""
+    words = min(len(x), len(y))
+    return int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum())
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether 100 * intersection >= PERCENT * union, both not empty; the sketches decide first where they can."""
+    """Whether 100 * intersection >= PERCENT * union, both not empty."""
     if not len(a) or not len(b):
         return False
-    if int(np.bitwise_count(sketch(a) ^ sketch(b)).sum()) > differ(len(a), len(b)):
-        return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
@@ -130,71 +148,89 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2): a set's size and two sums of its hashes, by which equal sets are known."""
+def _raw(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"), *more)
+
+
+def set_sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size, s1, s2 = (np.zeros(b.num_rows, _U) for _ in range(3))
-            for i, raw in enumerate(b.column(1)):
-                h = shingles(raw.as_py())
-                size[i], s1[i], s2[i] = len(h), h.sum(dtype=_U), _mix(h + _MULT[2]).sum(dtype=_U)
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(_signed, (size, s1, s2))], ["doc_id", "n_shingles", "s1", "s2"])
+            n = pa.array([len(shingles(x.as_py())) for x in b.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), n], ["doc_id", "n_shingles"])
+
+    return _raw(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint")
+
+
+def _first_of_runs(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted by key, then document, without repeats; the first document of each key's run), as (2, n) and (n,)."""
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    key, doc = key[new], doc[new]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    return np.stack([key, doc]), np.repeat(doc[starts], np.diff(np.append(starts, len(key))))
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint")
+MET = "key bigint, doc bigint, head bigint, sketch binary"
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(key, doc) of every part key of every text."""
+def keyed(docs: DataFrame, rows: int = ROWS) -> DataFrame:
+    """(key, doc, head, null) of every part key of every text, and (null, doc, size of its set, sketch) once a text.
+
+    Keys are pre-aggregated in the task, ``rows`` at a time: of documents that share one, the first stands for the others
+    (its head is null) and goes on to meet those of other tasks; the others name it as their head and are done.
+    """
+    names = ["key", "doc", "head", "sketch"]
+
+    def flush(keys: list, ids: list) -> pa.RecordBatch:
+        (k, d), head = _first_of_runs(np.concatenate(keys).view(np.int64), np.concatenate(ids))
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(d), pa.array(head, mask=d == head), pa.nulls(len(k), pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids, held = [], [], 0
         for b in batches:
-            keys, ids, held = [], [], 0
+            sizes, sketches = [], []
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                k = part_keys(shingles(raw.as_py()))
+                h = shingles(raw.as_py())
+                sizes.append(len(h))
+                sketches.append(sketch(h).tobytes())
+                k = part_keys(h) if len(h) else h
                 if len(k):
                     keys.append(k)
                     ids.append(np.full(len(k), doc, np.int64))
                     held += len(k)
-                if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "doc"])
+                if held > rows:
+                    yield flush(keys, ids)
                     keys, ids, held = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(0), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names)
+        if keys:
+            yield flush(keys, ids)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, "key bigint, doc bigint")
+    return _raw(docs).mapInArrow(run, MET)
 
 
 def meetings(rows: DataFrame) -> DataFrame:
-    """(key, doc, head, edge) for keys that several documents share, from staged rows (key, doc).
+    """(key, doc, head, null) for keys that several documents share, and the sizes and sketches, from ``keyed`` rows.
 
-    Rows are sorted by key and document over ranges of both, so a key shared by very many documents is dealt over many
-    tasks; each streams its rows and pairs every document with the first one of its key it sees. A key that may go on in
-    another range has its heads marked ``edge``, two rows a task.
+    Rows without a head are dealt by key, a row a task and key at most, so that a key a third of all documents have is no
+    larger than the number of tasks; the others are dealt by document as well and pass. Each task streams its rows by
+    key and gives every document the first of its key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "doc", "head", "edge"]
-        make = lambda k, d, h, e: pa.RecordBatch.from_arrays([pa.array(k), pa.array(d), pa.array(h), pa.array(np.full(len(k), e))], names)
-        begun = False
+        make = lambda k, d, h: pa.RecordBatch.from_arrays([pa.array(k), pa.array(d), pa.array(h), pa.nulls(len(k), pa.binary())], ["key", "doc", "head", "sketch"])
         key = head = None  # of the run that the last batch ended in
         alone = False  # whether that run has one document so far, not yet given out
-        last = None
         for b in batches:
+            done = b.column(2).is_valid()
+            yield b.filter(done)
+            b = b.filter(pc.invert(done))
             k, d = (b.column(i).to_numpy() for i in (0, 1))
             if not len(k):
                 continue
-            new = np.ones(len(k), bool)
-            new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-            if last is not None and last == (k[0], d[0]):
-                new[0] = False
-            last = (k[-1], d[-1])
-            k, d = k[new], d[new]
-            if not len(k):
-                continue
-            if not begun:
-                begun = True
-                yield make(k[:1], d[:1], d[:1], True)
             if alone:
                 k, d = np.concatenate([[key], k]), np.concatenate([[head], d])
             starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
@@ -207,77 +243,112 @@ def meetings(rows: DataFrame) -> DataFrame:
             key, head = k[-1], heads[-1]
             pick = np.repeat(several, n)
             if pick.any():
-                yield make(k[pick], d[pick], np.repeat(heads, n)[pick], False)
-        if begun:
-            yield make(np.array([key]), np.array([head]), np.array([head]), True)
+                yield make(k[pick], d[pick], np.repeat(heads, n)[pick])
 
-    spread = rows.repartitionByRange(F.col("key"), F.col("doc")).sortWithinPartitions("key", "doc")
-    return spread.mapInArrow(run, "key bigint, doc bigint, head bigint, edge boolean")
+    spread = rows.repartition(F.xxhash64("key", F.when(F.col("head").isNotNull(), F.col("doc")))).sortWithinPartitions("key", "doc")
+    return spread.mapInArrow(run, MET)
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets, in rows (id, hashes), are similar."""
+def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar. Sets are made from the texts; a's are sent to b's, once a pair."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run_a(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", "ha"]
         for b in batches:
-            good = [similar(np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)) for x, y in zip(b.column(2), b.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    left = sets.select(F.col("id").alias("ia"), F.col("hashes").alias("ha"))
-    right = sets.select(F.col("id").alias("ib"), F.col("hashes").alias("hb"))
-    both = pairs.join(left, F.col("a") == F.col("ia")).join(right, F.col("b") == F.col("ib"))
-    return both.select("a", "b", "ha", "hb").mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def _sets_of(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            a, to, h, held = [], [], [], 0
+            for doc, raw, others in zip(*b.columns, strict=True):
+                own = shingles(raw.as_py()).tobytes()
+                for x in others.as_py():
+                    a.append(doc.as_py())
+                    to.append(x)
+                    h.append(own)
+                    held += len(own)
+                    if held > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(to, pa.int64()), pa.array(h, pa.binary())], names)
+                        a, to, h, held = [], [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(to, pa.int64()), pa.array(h, pa.binary())], names)
+
+    def run_b(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(x.as_py()).tobytes() for x in part.column(1)], pa.binary())], ["id", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(x.as_py()).tobytes() for x in part.column(1)], pa.binary())], ["to", "hb"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw")).mapInArrow(run, "id bigint, hashes binary")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [similar(np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)) for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    ours = staged(pairs.groupBy("a").agg(F.collect_list("b").alias("others")), "ours")
+    hubs = staged(pairs.select(F.col("b").alias("hub")).distinct(), "hubs")
+    left = _raw(bounded_join(docs, ours, F.col("doc_id") == F.col("a"), "inner"), "others").mapInArrow(run_a, "a bigint, b bigint, ha binary")
+    right = _raw(bounded_join(docs, hubs, F.col("doc_id") == F.col("hub"), "left_semi")).mapInArrow(run_b, "to bigint, hb binary")
+    both = left.join(right, F.col("b") == F.col("to")).select("a", "b", "ha", "hb")
+    return both.mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id.
 
-    Equal sets are one class, known by size and two sums, represented by their smallest id. Representatives meet by
-    part keys. What meets is verified until components stand still, never all pairs of a group: first each document with
-    the smallest head it met, then with its other heads, then only pairs in different components that share a key, so a
-    group that is one component costs a pair a document; no link between different components is left out.
+    Equal texts are one class, known by their MD5 and represented by their smallest id. Representatives meet by part
+    keys. What meets is verified until components stand still, never all pairs of a group: first each document with the
+    nearest head it met, then the pairs in different components of keys with few documents, and of large keys those of other
+    documents with a few members of the largest component; in the end every pair that shares a large key and is
+    still in different components. No link between those is left out. Pairs that parity sketches rule out are not verified.
 
     Null and empty texts have no shingles and are alone; rows with a null id have no component (null) and link nothing;
-    rows that repeat an id share its component; other columns are not read; an empty table gives an empty result.
+    rows that repeat an id share its component, each with its own size; other columns are not read; an empty table gives
+    an empty result.
     """
-    docs = docs.select("doc_id", "text")
-    sets = staged(shingle_sets(docs), "sets")
-    known = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = known.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most"))
-    classes = staged(classes.where("rep < most").select(F.col("n_shingles").alias("cn"), F.col("s1").alias("c1"), F.col("s2").alias("c2"), "rep"), "classes")
-    same = (F.col("n_shingles") == F.col("cn")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2"))
-    classed = bounded_join(sets, classes, same, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    classed = staged(classed, "classed")
-    copies = staged(classed.where("rep <> doc_id").select(F.col("doc_id").alias("copy")).distinct(), "copies")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = staged(docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("md5")), "texts")
+    again = staged(texts.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")), "again")
+    repeats = not again.isEmpty()
+    with_id = texts.where("doc_id IS NOT NULL")
+    once = bounded_join(with_id, again, F.col("doc_id") == F.col("again"), "left_anti") if repeats else with_id
+    classes = once.groupBy("md5").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("most")).where("rep < most")
+    classes = staged(classes.select(F.col("md5").alias("of"), "rep"), "classes")
+    classed = staged(bounded_join(once, classes, F.col("md5") == F.col("of"), "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "classed")
+    copies = staged(classed.where("rep <> doc_id").select(F.col("doc_id").alias("copy")), "copies")
     singles = bounded_join(docs.where("doc_id IS NOT NULL"), copies, F.col("doc_id") == F.col("copy"), "left_anti")
 
-    met = staged(meetings(staged(keyed(singles), "keys")), "meetings")
-    edge = met.where("edge").groupBy(F.col("key").alias("ek")).agg(F.min("head").alias("low"))
-    edge = met.where("edge").join(edge, F.col("key") == F.col("ek")).select(F.col("head").alias("a"), F.col("low").alias("b"))
-    heads = staged(met.where("NOT edge").select(F.col("doc").alias("a"), F.col("head").alias("b")).union(edge).where("a <> b").distinct(), "heads")
-    ids = staged(heads.select(F.explode(F.array("a", "b")).alias("member")).distinct(), "members")
-    members = staged(_sets_of(bounded_join(docs, ids, F.col("doc_id") == F.col("member"), "left_semi")), "hashes")
-
-    links = staged(linked(heads.groupBy("a").agg(F.min("b").alias("b")), members), "links")
+    met = staged(meetings(keyed(singles)), "meetings")
+    info = met.where("key IS NULL").select(F.col("doc").alias("id"), F.col("head").alias("size"), "sketch")
+    keys = met.where("key IS NOT NULL").drop("sketch")
+    heads = staged(_plausible(keys.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b")).distinct(), info), "heads")
+    done = staged(_nearest(heads), "nearest")
+    links = staged(linked(done, singles), "links")
     comp = components(links)
-    rest = staged(_apart(heads, comp), "rest")
-    if not rest.isEmpty():
-        links = staged(links.union(linked(rest, members)), "links")
-        comp = components(links)
-        links = staged(links.union(linked(_across(met, heads, comp), members)), "links")
-        comp = components(links)
-    out = bounded_join(classed, comp, F.col("rep") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
+
+    def settle(pairs: DataFrame) -> None:
+        """Verify pairs in different components, each document's nearest first, until none is left."""
+        nonlocal links, comp, done
+        for k in range(ROUNDS + 1):
+            tried = _apart(pairs, comp).select("a", "b", "bits").join(done, ["a", "b"], "left_anti")
+            tried = staged(_nearest(tried) if k < ROUNDS else tried.select("a", "b").distinct(), "tried")
+            if tried.isEmpty():
+                return
+            more = staged(linked(tried, singles), "links")
+            done = staged(done.union(tried), "done")
+            if not more.isEmpty():
+                links = links.union(more)
+                comp = components(links)
+
+    mixed = _mixed(keys, comp)
+    settle(staged(heads.union(_compared(keys, info, comp, mixed.where("n <= " + str(LARGE)))).union(_tried(keys, info, comp, mixed.where("n > " + str(LARGE)))), "across"))
+    large = _mixed(keys, comp, LARGE)
+    if not large.isEmpty():
+        settle(staged(_compared(keys, info, comp, large), "across"))
+
+    sizes = met.where("key IS NULL").select(F.col("doc").alias("of"), F.col("head").alias("n_shingles"))
+    rows = classed.join(sizes, F.col("rep") == F.col("of")).select("doc_id", "n_shingles", "rep")
+    others = docs.where("doc_id IS NULL")
+    if repeats:
+        others = others.union(bounded_join(docs, again, F.col("doc_id") == F.col("again"), "left_semi"))
+    rows = rows.union(set_sizes(others).select("doc_id", "n_shingles", F.col("doc_id").alias("rep")))
+    out = bounded_join(rows, comp, F.col("rep") == F.col("node"), "left")
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("root", "rep"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
 def _of(ids: DataFrame, column: str, comp: DataFrame, name: str) -> DataFrame:
@@ -287,26 +358,168 @@ def _of(ids: DataFrame, column: str, comp: DataFrame, name: str) -> DataFrame:
 
 
 def _apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """The pairs in different components."""
-    return _of(_of(pairs, "a", comp, "ca"), "b", comp, "cb").where("ca <> cb").select("a", "b")
+    """The pairs in different components, with both."""
+    return _of(_of(pairs, "a", comp, "ca"), "b", comp, "cb").where("ca <> cb")
 
 
-def _across(met: DataFrame, heads: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs that share a key, in different components, less those of a document and a head, which have been verified.
+def _nearest(pairs: DataFrame, *more: str) -> DataFrame:
+    """Of each document's pairs (a, b, bits) that with the fewest bits."""
+    return pairs.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("x")).select("a", F.col("x.b").alias("b"), *(F.col(f"x.{c}").alias(c) for c in more))
 
-    Keys of one component go first, by minimum and maximum. Then each document meets the other components of its keys,
-    and through them, by key and component, their documents; pairs within a component never arise.
-    """
-    rows = _of(met.select("key", "doc").distinct(), "doc", comp, "c")
-    mixed = rows.groupBy(F.col("key").alias("mk")).agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi")
-    rows = staged(rows.join(mixed, F.col("key") == F.col("mk"), "left_semi"), "mixed")
-    kinds = rows.select(F.col("key").alias("k2"), F.col("c").alias("c2")).distinct()
-    other = rows.select(F.col("key").alias("k3"), F.col("c").alias("c3"), F.col("doc").alias("b"))
-    pairs = rows.join(kinds, (F.col("key") == F.col("k2")) & (F.col("c2") < F.col("c"))).select("key", F.col("doc").alias("a"), "c2")
-    pairs = pairs.join(other, (F.col("key") == F.col("k3")) & (F.col("c2") == F.col("c3"))).select("a", "b").distinct()
-    done = heads.select(F.col("a").alias("x"), F.col("b").alias("y"))
-    done = done.union(done.select("y", "x"))
-    return pairs.join(done, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left_anti")
+
+PAIR = "a bigint, b bigint, bits bigint"
+
+
+def _plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """The pairs that their sketches don't rule out, with the bits these differ in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits = pa.array([distance(np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)) for x, y in zip(b.column(4), b.column(5), strict=True)], pa.int64())
+            most = pa.array([differ(*x) for x in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), bits], ["a", "b", "bits"]).filter(pc.less_equal(bits, most))
+
+    left = info.select(F.col("id").alias("ia"), F.col("size").alias("na"), F.col("sketch").alias("sa"))
+    right = info.select(F.col("id").alias("ib"), F.col("size").alias("nb"), F.col("sketch").alias("sb"))
+    both = pairs.join(left, F.col("a") == F.col("ia")).join(right, F.col("b") == F.col("ib"))
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, PAIR)
+
+
+def _mixed(keys: DataFrame, comp: DataFrame, more_than: int = 1) -> DataFrame:
+    """(mk, n, inside, blocks): keys with documents in several components, how many they have, the component that has most (or one of
+    the smallest documents', where the key is not large), and their blocks. Keys of a head and one other are known and left out."""
+    rows = _of(keys, "doc", comp, "c")
+    by = rows.groupBy("key", "c").agg(F.count("*").alias("n"), F.max((F.col("doc") == F.col("head")).cast("int")).alias("h"))
+    total = F.sum("n")
+    out = by.groupBy(F.col("key").alias("mk")).agg(total.alias("n"), F.max("h").alias("h"), F.count("*").alias("kinds"), F.max(F.struct("n", "c")).alias("x"))
+    out = out.where(f"kinds > 1 AND n - h > 1 AND n > {more_than}")
+    return staged(out.select("mk", "n", F.col("x.c").alias("inside"), F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("blocks")), "mixed")
+
+
+def _groups(keys: DataFrame, info: DataFrame, comp: DataFrame, mixed: DataFrame, everywhere: bool) -> DataFrame:
+    """Rows (key, block, own, doc, c, large, size, sketch) of the mixed keys, a key's block together. Documents of its largest
+    component are in their own block; others, if ``everywhere``, in all of them, to meet those."""
+    rows = bounded_join(_of(keys, "doc", comp, "c"), mixed, F.col("key") == F.col("mk"), "inner")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("large", F.col("c") == F.col("inside"))
+    if everywhere:
+        blocks = F.expr("CASE WHEN large OR blocks = 1 THEN array(own) ELSE sequence(0L, blocks - 1) END")
+        rows = rows.select("*", F.explode(blocks).alias("block"))
+    else:
+        rows = rows.withColumn("block", F.col("own"))
+    rows = rows.join(info, F.col("doc") == F.col("id")).select("key", "block", "own", "doc", "c", "large", "size", "sketch")
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block")
+
+
+class _Sketches:
+    """Sketches of many documents, as matrices by length."""
+
+    def __init__(self, column: pa.Array):
+        rows = [np.frombuffer(x.as_py(), _U) for x in column]
+        self.words = np.fromiter(map(len, rows), np.int64, len(rows))
+        self.at = np.empty(len(rows), np.int64)
+        self.by: dict[int, np.ndarray] = {}
+        for w in np.unique(self.words).tolist():
+            own = np.flatnonzero(self.words == w)
+            self.at[own] = np.arange(len(own))
+            self.by[w] = np.stack([rows[i] for i in own])
+
+    def distances(self, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        out = np.empty(len(p), np.int64)
+        a, b = self.words[p], self.words[q]
+        for x, y in set(zip(a.tolist(), b.tolist(), strict=True)):
+            some = np.flatnonzero((a == x) & (b == y))
+            for k in range(0, len(some), 20_000):
+                at = some[k : k + 20_000]
+                m, n = self.by[x][self.at[p[at]]], self.by[y][self.at[q[at]]]
+                while m.shape[1] > n.shape[1]:
+                    m = m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+                while n.shape[1] > m.shape[1]:
+                    n = n[:, : n.shape[1] // 2] ^ n[:, n.shape[1] // 2 :]
+                out[at] = np.bitwise_count(m ^ n).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def _by_group(groups: DataFrame, pairs_of) -> DataFrame:
+    """Plausible pairs (a, b, bits) among those that ``pairs_of`` names. It gets the columns of some whole groups, and where each begins and
+    ends, and gives two arrays of row numbers at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def give(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            x = {n: t.column(n).to_numpy() for n in ("key", "block", "own", "doc", "c", "large", "size")}
+            sketches = _Sketches(t.column("sketch").combine_chunks())
+            for p, q in pairs_of(x, starts, np.append(starts[1:], t.num_rows)):
+                d = sketches.distances(p, q)
+                good = d <= (x["size"][p] + x["size"][q]) * (100 - PERCENT) // (100 + PERCENT)
+                p, q, d = x["doc"][p[good]], x["doc"][q[good]], d[good]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(p, q)), pa.array(np.minimum(p, q)), pa.array(d)], ["a", "b", "bits"])
+
+        def cut(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            t = pa.Table.from_batches(held)
+            k = np.stack([t.column(n).to_numpy() for n in ("key", "block")])
+            starts = np.flatnonzero(np.concatenate([[True], (k[:, 1:] != k[:, :-1]).any(axis=0)]))
+            if last:
+                yield from give(t, starts)
+                held = []
+            elif len(starts) > 1:  # the last group may go on
+                yield from give(t.slice(0, starts[-1]), starts[:-1])
+                held = t.slice(starts[-1]).to_batches()
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                yield from cut(False)
+        if held:
+            yield from cut(True)
+
+    return groups.mapInArrow(run, PAIR)
+
+
+def _compared(keys: DataFrame, info: DataFrame, comp: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Plausible pairs of all documents of the mixed keys that are in different components."""
+
+    def pairs_of(x: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        c, own, block, large = x["c"], x["own"], x["block"], x["large"]
+
+        def wanted(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            # two that are in every block are compared in one of them
+            good = (c[p] != c[q]) & (large[p] | large[q] | (np.minimum(own[p], own[q]) == block[p]))
+            return p[good], q[good]
+
+        size = ends - starts
+        few = np.repeat(size <= 64, size)
+        group = np.repeat(np.arange(len(starts)), size)
+        for k in range(1, 64):  # neighbours at distance k, in all small groups at once
+            p = np.flatnonzero(few[:-k] & (group[:-k] == group[k:])) if k < len(group) else np.empty(0, np.int64)
+            if not len(p):
+                break
+            yield wanted(p, p + k)
+        for lo, hi in zip(starts[size > 64].tolist(), ends[size > 64].tolist(), strict=True):
+            rest = np.arange(lo, hi)
+            for i in (np.flatnonzero(~large[lo:hi]) + lo).tolist():
+                others = rest[large[lo:hi] | (rest > i)]
+                yield wanted(np.full(len(others), i), others)
+
+    return _by_group(_groups(keys, info, comp, mixed, True), pairs_of).distinct()
+
+
+def _tried(keys: DataFrame, info: DataFrame, comp: DataFrame, mixed: DataFrame) -> DataFrame:
+    """For documents outside the largest component of a large key, in one of SOME of their keys by hash, the plausible ones
+    of TRIES members of it: most of a family is joined this way before ``_compared`` is asked about what is left."""
+
+    def pairs_of(x: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for lo, hi in zip(starts.tolist(), ends.tolist(), strict=True):
+            inside = np.flatnonzero(x["large"][lo:hi]) + lo
+            outside = np.flatnonzero(~x["large"][lo:hi]) + lo
+            outside = outside[_mix((x["doc"][outside] ^ x["key"][outside]).view(_U)) % _U(SOME) == 0]
+            if len(inside) and len(outside):
+                draw = _mix(x["doc"][outside].view(_U)[:, None] * _MULT[0] + np.arange(TRIES, dtype=_U)[None, :])
+                yield np.repeat(outside, TRIES), inside[(draw % _U(len(inside))).astype(np.int64)].ravel()
+
+    near = _by_group(_groups(keys, info, comp, mixed, False), pairs_of)
+    return _nearest(near, "bits").select("a", "b", "bits")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -296,8 +296,10 @@ def train(rows: list[tuple[str, int]], base: float, seed: int = 3) -> Network:
     all_window = np.arange(len(all_doc)) - np.repeat(np.cumsum(per[have]) - per[have], per[have])
     some = rng.permutation(len(all_doc))[:16_000]
     passes(all_doc[some], all_window[some])
+    pieces = [(i, words_of([t.encode() for t, _ in rows[i:j]]), j - i) for i, j in pieces_of([len(t) for t, _ in rows], PIECE // 2)]
     for _ in range(PASSES):
-        doc, logit = net.windows(w, len(rows))
+        found = [(i, *net.windows(part, n)) for i, part, n in pieces]
+        doc, logit = np.concatenate([i + d for i, d, _ in found]), np.concatenate([x for _, _, x in found])
         order = np.lexsort((-logit, doc))
         first = order[np.flatnonzero(np.diff(doc[order], prepend=-1))]
         offset = np.cumsum(per[have]) - per[have]

@@ -38,7 +38,7 @@ def test_few(few):
     assert Search(few, "chr1:20-50").total() == 8
     assert Search(few, "2:1-1000").total() == 0 and Search(few, "2:1-1000").counts().count() == 3
     assert Search(few, "1:1-25,1:1-25").total() == 14
-    assert [r.file_name for r in Search(few, "1:1-25", files=["A", "C"]).counts().collect()] == ["A", "C"]
+    assert sorted(r.file_name for r in Search(few, "1:1-25", files=["A", "C"]).counts().collect()) == ["A", "C"]
     assert len(list(Search(few, "1:1-25").iterate())) == 7
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intervale.llm.common import fold, staged
+from intervale.llm.common import fold, pieces_of, staged
 from intervale.llm.pitman_yor import BURN, SAMPLES, Model, discount_of, mixed, seat
 
 #: A word is a symbol of its own from one in so many tokens on; so there are at most so many.
@@ -28,6 +28,8 @@ FREQUENT = 1000
 BROADCAST = 1_000_000
 #: Counters of a task are passed on when they hold so many words; words whose symbols a worker remembers.
 HELD = 300_000
+#: Bytes of text scored at a time.
+PIECE = 4 << 20
 EDGE, BYTES = 256, 257
 #: Bits that contexts keep of their second and third byte; small letters differ in five.
 FOLD = 5
@@ -66,11 +68,13 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 class Symbols(dict):
-    """Symbol of a word: its place among the frequent, else their number plus its last byte. Remembers HELD words."""
+    """Symbol of a word, its place among the frequent or else their number plus its last byte, and in the upper half its place,
+    from 1, among the ``broadcast`` words, or 0. Remembers HELD words."""
 
-    def __init__(self, frequent: np.ndarray):
+    def __init__(self, frequent: np.ndarray, broadcast: np.ndarray | None = None):
         super().__init__()
         self.of = {int(h): i for i, h in enumerate(frequent)}
+        self.place = {} if broadcast is None else {h: i << 32 for i, h in enumerate(broadcast.tolist(), 1)}
         self.end = len(frequent) + 256
         self.size = self.end + 1
         #: Contexts: a frequent word right before; the last frequent word before, with others since; the start; others alone.
@@ -79,16 +83,18 @@ class Symbols(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= HELD:
             self.clear()
-        x = self[word] = self.of.get(_hash(word), len(self.of) + word[-1])
+        h = _hash(word)
+        x = self[word] = self.of.get(h, len(self.of) + word[-1]) | self.place.get(h, 0)
         return x
 
-    def text(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(context, symbol) of each word and of the end."""
+    def text(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(context, symbol) of each word and of the end, and each word's place less one."""
         n, f = len(words), len(self.of)
-        out = np.fromiter(map(self.__getitem__, words), np.int64, n)
+        both = np.fromiter(map(self.__getitem__, words), np.int64, n)
+        out = both & 0xFFFFFFFF
         at = np.maximum.accumulate(np.where(out < f, np.arange(n), -1)) if n else out
         context = np.where(at == np.arange(n), out, np.where(at >= 0, f + out[at], 2 * f + 1))
-        return np.append(2 * f, context), np.append(out, self.end)
+        return np.append(2 * f, context), np.append(out, self.end), (both >> 32) - 1
 
 
 def _pairs(docs: DataFrame, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +105,7 @@ def _pairs(docs: DataFrame, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarra
         total = np.zeros(s.contexts * s.size, np.int64)
         for b in batches:
             for raw in b.column(0):
-                context, x = s.text(tokens(raw.as_py()))
+                context, x, _ = s.text(tokens(raw.as_py()))
                 np.add.at(total, context * s.size + x, 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["code", "n"])
@@ -247,22 +253,6 @@ class Shared:
         return np.log10((c + ADD) / (self.n_all + ADD * (self.n_distinct + 1)))
 
 
-class Known(dict):
-    """Place of a word among the broadcast ones, or -1."""
-
-    def __init__(self, hashes: np.ndarray):
-        super().__init__()
-        self.hashes = hashes
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= HELD:
-            self.clear()
-        h = _U(_hash(word))
-        i = int(np.searchsorted(self.hashes, h))
-        x = self[word] = i if i < len(self.hashes) and self.hashes[i] == h else -1
-        return x
-
-
 def fit(docs: DataFrame) -> tuple[Shared, DataFrame]:
     """The model of ``docs`` (a column text), and the table (h, n, lp) of words below the broadcast share."""
     counts = staged(count_words(docs), "words")
@@ -309,34 +299,40 @@ def score_texts(docs: DataFrame, shared: Shared, words: DataFrame, held_out: str
         from pyspark import TaskContext
 
         m = model.value
-        s, known = Symbols(m.frequent), Known(m.hashes)
+        s = Symbols(m.frequent, m.hashes)
         base = m.base(m.counts)
         of_end = float(m.base(np.array([m.n_ends]))[0])
         row = TaskContext.get().partitionId() << 33
+        fixed = lambda x, kind, n: pa.array(np.full(n, x), kind)
         for b in batches:
-            out: list[list] = [[] for _ in names]
-            for doc, raw, aside in zip(*(b.column(i) for i in range(3)), strict=True):
-                w = tokens(raw.as_py())
-                context, x = s.text(w)
-                at = np.fromiter(map(known.__getitem__, w), np.int64, len(w))
-                hit = at[at >= 0]
-                logs = float(m.table[context, x].sum(dtype=float)) + float(m.words[hit].sum())
-                rest = Counter([t for t, i in zip(w, at.tolist(), strict=True) if i < 0])
-                doc, aside = doc.as_py(), aside.as_py()
-                n = len(rest)
-                spelt: list = [None] * n
-                if aside and n:
-                    ends = np.array([t[-1] for t in rest])
-                    spelt = (m.speller.log10(list(rest)) + np.log10(m.classes.left(ends))).tolist()
-                hashes = [_hash(t) for t in rest]
-                for col, first, more in zip(out, (row, doc, aside, int(mixed(np.array([row], _U))[0]), None, None, len(w) + 1, len(hit) + (m.n_ends > 0), float(base[hit].sum()) + of_end, logs), ([row] * n, [None] * n, [None] * n, hashes, rest.values(), spelt, [0] * n, [0] * n, [0.0] * n, [0.0] * n), strict=True):
-                    col.append(first)
-                    col.extend(more)
-                row += 1
-                if len(out[0]) > 100_000:
-                    yield _rows(out, kinds, names)
-                    out = [[] for _ in names]
-            yield _rows(out, kinds, names)
+            for i, j in pieces_of([len(x.as_py() or b"") for x in b.column(1)], PIECE):
+                part = b.slice(i, j - i)
+                sums: list[tuple] = []
+                owners, words, times, spelt = [], [], [], []
+                for raw, aside in zip(part.column(1), part.column(2).to_pylist(), strict=True):
+                    w = tokens(raw.as_py())
+                    context, x, at = s.text(w)
+                    hit = at[at >= 0]
+                    logs = float(m.table[context, x].sum(dtype=float)) + float(m.words[hit].sum())
+                    sums.append((len(w) + 1, len(hit) + (m.n_ends > 0), float(base[hit].sum()) + of_end, logs))
+                    rest = Counter([w[k] for k in np.flatnonzero(at < 0).tolist()])
+                    owners.append(len(rest))
+                    words += map(_hash, rest)
+                    times += rest.values()
+                    if aside and rest:
+                        ends = np.array([t[-1] for t in rest])
+                        spelt.append(m.speller.log10(list(rest)) + np.log10(m.classes.left(ends)))
+                    else:
+                        spelt.append(np.full(len(rest), np.nan))
+                ids = row + np.arange(len(sums), dtype=np.int64)
+                row += len(sums)
+                n_tokens, n_known, base_sum, score = (np.array(c) for c in zip(*sums, strict=True))
+                nothing = pa.nulls(len(sums), pa.int64())
+                own = [ids, part.column(0), part.column(2), pa.array(mixed(ids.view(_U)).view(np.int64)), nothing, pa.nulls(len(sums), pa.float64()), n_tokens, n_known, base_sum, score]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(own, kinds, strict=True)], names)
+                n, spelt = len(words), np.concatenate(spelt)
+                tail = [np.repeat(ids, owners), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), np.array(words, _U).view(np.int64), np.array(times, np.int64), pa.array(spelt, mask=np.isnan(spelt)), fixed(0, pa.int64(), n), fixed(0, pa.int64(), n), fixed(0.0, pa.float64(), n), fixed(0.0, pa.float64(), n)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(tail, kinds, strict=True)], names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"), F.col(held_out).alias("held_out")).mapInArrow(run, ", ".join(f"{n} {'boolean' if pa.types.is_boolean(k) else 'bigint' if pa.types.is_integer(k) else 'double'}" for n, k in zip(names, kinds, strict=True)))
     both = rows.join(words.select(F.col("h"), F.col("n"), F.col("lp")), (F.col("word") == F.col("h")) & F.col("times").isNotNull(), "left")
@@ -353,11 +349,6 @@ def score_texts(docs: DataFrame, shared: Shared, words: DataFrame, held_out: str
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(shared.n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def _rows(cols: list[list], kinds: list, names: list[str]) -> pa.RecordBatch:
-    hashes = pa.array(np.array(cols[3], _U).view(np.int64)) if cols[3] else pa.array([], pa.int64())
-    return pa.RecordBatch.from_arrays([hashes if i == 3 else pa.array(c, k) for i, (c, k) in enumerate(zip(cols, kinds, strict=True))], names)
-
-
 def perplexity(scores: DataFrame) -> DataFrame:
     """Perplexity a token of held-out and learnt texts under the model and under the base, from the rows of ``lm_scores``."""
     by = scores.groupBy("held_out").agg(F.sum("n_tokens").alias("tokens"), F.sum("score").alias("s"), F.sum("base_score").alias("b"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intervale.tables import shared_dir, staged, table
 
-__all__ = ["SPACE", "WORD", "bounded_join", "fold", "pieces_of", "shared_dir", "staged", "table", "word_array"]
+__all__ = ["SPACE", "WORD", "arrow_rows", "bounded_join", "fold", "pieces_of", "shared_dir", "staged", "table", "trim", "word_array"]
 
 #: ASCII white space and its complement, as every contract here splits words.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -44,3 +46,23 @@ def pieces_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
             start, total = k + 1, 0
     if start < len(sizes):
         yield start, len(sizes)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Actions within send Python at most ``rows`` rows at a time, for rows that hold long texts or sets; the session's setting
+    is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def trim() -> None:
+    """Give the memory that a worker has freed back to the system, where the C library can: workers live on, and what one
+    stage's arrays took would count against the next."""
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

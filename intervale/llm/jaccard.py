@@ -14,13 +14,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intervale.llm.common import bounded_join, staged
+from intervale.llm.common import BROADCAST_ROWS, arrow_rows, bounded_join, staged, trim
 from intervale.llm.graph import components
 
 #: Words of a shingle, and the least similarity in percent.
 WORDS, PERCENT = 5, 80
 #: Distinct words whose hashes a Python worker keeps.
-WORD_CACHE = 400_000
+WORD_CACHE = 150_000
 #: Bits, at least, of the parity sketch that filters pairs before their sets are intersected.
 SKETCH_BITS = 512
 #: A key with more documents is large: its documents are compared in blocks of about BLOCK.
@@ -28,8 +28,10 @@ LARGE, BLOCK = 32, 2048
 #: Members of a large key's largest component that other documents are first tried with, in one of SOME of their large keys; and rounds in
 #: which each document's nearest is verified before all that is left.
 TRIES, SOME, ROUNDS = 32, 8, 2
+#: Rows, with their texts or sets, sent to Python at a time.
+BATCH = 500
 #: Part keys that a task pre-aggregates at a time.
-ROWS = 1_500_000
+ROWS = 300_000
 _U = np.uint64
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], _U)
 
@@ -208,6 +210,8 @@ def keyed(docs: DataFrame, rows: int = ROWS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.nulls(b.num_rows, pa.int64()), b.column(0), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names)
         if keys:
             yield flush(keys, ids)
+        keys = ids = None
+        trim()
 
     return _raw(docs).mapInArrow(run, MET)
 
@@ -278,10 +282,13 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         for b in batches:
             good = [similar(np.frombuffer(x.as_py(), _U), np.frombuffer(y.as_py(), _U)) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+        trim()
 
-    ours = staged(pairs.groupBy("a").agg(F.collect_list("b").alias("others")), "ours")
+    pairs = staged(pairs, "pairs")
+    few = pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # each pair is a number in one of the lists
+    ours = pairs.groupBy("a").agg(F.collect_list("b").alias("others"))
     hubs = staged(pairs.select(F.col("b").alias("hub")).distinct(), "hubs")
-    left = _raw(bounded_join(docs, ours, F.col("doc_id") == F.col("a"), "inner"), "others").mapInArrow(run_a, "a bigint, b bigint, ha binary")
+    left = _raw(docs.join(F.broadcast(ours) if few else ours, F.col("doc_id") == F.col("a")), "others").mapInArrow(run_a, "a bigint, b bigint, ha binary")
     right = _raw(bounded_join(docs, hubs, F.col("doc_id") == F.col("hub"), "left_semi")).mapInArrow(run_b, "to bigint, hb binary")
     both = left.join(right, F.col("b") == F.col("to")).select("a", "b", "ha", "hb")
     return both.mapInArrow(compare, "a bigint, b bigint").distinct()
@@ -300,6 +307,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows that repeat an id share its component, each with its own size; other columns are not read; an empty table gives
     an empty result.
     """
+    with arrow_rows(docs.sparkSession, BATCH):
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = staged(docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("md5")), "texts")
     again = staged(texts.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again")), "again")
@@ -473,6 +485,7 @@ def _by_group(groups: DataFrame, pairs_of) -> DataFrame:
                 yield from cut(False)
         if held:
             yield from cut(True)
+        trim()
 
     return groups.mapInArrow(run, PAIR)
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from intervale.llm.common import pieces_of
+from intervale.llm.common import pieces_of, trim
 
 META = "▁"
 #: Distinct chunks a Python worker keeps encoded in each of its two generations.
@@ -245,6 +245,9 @@ class Pieces:
         back = b"".join([x[2] for x in got]).removeprefix(b" ")
         return sum([x[0] for x in got]), sha256(ids).hexdigest(), sha256(back).hexdigest()
 
+    def forget(self) -> None:
+        self.young, self.old, self.fits = {}, {}, {}
+
     def packed(self, text: str) -> bytes:
         """Ids of a whole text as 32-bit integers."""
         return b"".join(self._looked_up(text, lambda c: array("i", self.chunk(c)).tobytes()))
@@ -279,6 +282,8 @@ def encode_texts(docs: DataFrame, model: str | None = None, text: str = "text",
                 ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, ids])
+        m.forget()  # later stages use the worker's memory for other things
+        trim()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(ids, ArrayType(IntegerType())))
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intervale.llm.common import fold, pieces_of
+from intervale.llm.common import fold, pieces_of, trim
 
 #: Words of a window and words between starts of windows.
 STRIDE = 16
@@ -332,6 +332,7 @@ def scored(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
                 part = b.slice(i, j - i)
                 scores = shared.value.score([(t or "").encode() for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*part.schema.names, name])
+        trim()
 
     from pyspark.sql.types import DoubleType, StructType
 

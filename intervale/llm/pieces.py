@@ -69,6 +69,7 @@ class Pieces:
         self.raw = {i: p.encode() for i, p in self.piece.items()}
         self.decimal = {i: str(i).encode() for i in [*self.piece, *self.of_byte]}
         self.fits: dict[int, bool] = {}
+        self.keep = CACHE
         self.young: dict = {}
         self.old: dict = {}
         self.split = re.compile(" *[^ \n]+| +|\n" if "\n" not in self.single else " *[^ ]+| +")
@@ -222,7 +223,7 @@ class Pieces:
                 if x is None:
                     x = make(c)
                 if len(c) <= 64:
-                    if len(self.young) >= CACHE:
+                    if len(self.young) >= self.keep:
                         self.old, self.young = self.young, {}
                         get = self.young.get
                     self.young[c] = x
@@ -275,8 +276,9 @@ def encode_texts(docs: DataFrame, model: str | None = None, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(path, "ids")
+        m.keep = CACHE // 3  # these workers also hold the ids themselves
         for b in batches:
-            for i, j in pieces_of([len(t.as_py() or "") for t in b.column(at)], 8 << 20):
+            for i, j in pieces_of([len(t.as_py() or "") for t in b.column(at)], 2 << 20):
                 part = b.slice(i, j - i)
                 packed = [m.packed(t.as_py() or "") for t in part.column(at)]
                 ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)

@@ -1,11 +1,13 @@
 """Scoring texts by a hierarchical Pitman-Yor language model learnt from the whole corpus.
 
-A token is predicted in two steps. First its symbol: a frequent word is one, the others fall into classes by their last byte,
+A token is predicted from the word right before it, whichever that is: each word has a restaurant whose dishes are all words that
+follow it in training. What such a restaurant leaves goes to their shared parent, which predicts in two steps. First the token's symbol: a frequent word is one, the others fall into classes by their last byte,
 and the end of a text is one; symbols are predicted from the frequent word before them, right before or further back, by context
 restaurants that share their parent. Then, within a class, the word: a restaurant for each class, whose dishes are its words and whose base spells the word
 backwards by a byte model with contexts of three bytes, two, one and none. All seatings are sampled by Gibbs sweeps and
 predictives averaged. What the driver holds is bounded: at most FREQUENT words by their share of all tokens, so at most
-2 * (FREQUENT + 1) * (FREQUENT + 257) pairs of context and symbol, and folded byte contexts; words themselves stay in tables."""
+2 * (FREQUENT + 1) * (FREQUENT + 257) pairs of context and symbol, folded byte contexts, and at most BROADCAST words and as many
+pairs of words; all other words and pairs stay in tables, which grow with the corpus."""
 
 from __future__ import annotations
 
@@ -26,6 +28,8 @@ from intervale.llm.pitman_yor import BURN, SAMPLES, Model, discount_of, mixed, s
 FREQUENT = 1000
 #: A word's count and probability are broadcast from one in so many tokens on: at most 24 bytes times this. Rarer ones are joined.
 BROADCAST = 1_000_000
+#: Tokens whose pairs a task counts before it passes them on.
+PAIRS = 2_000_000
 #: Counters of a task are passed on when they hold so many words; words whose symbols a worker remembers.
 HELD = 300_000
 #: Bytes of text scored at a time.
@@ -97,6 +101,14 @@ class Symbols(dict):
         return np.append(2 * f, context), np.append(out, self.end), (both >> 32) - 1
 
 
+    def ids(self, words: list[bytes], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word before, word) of each word and of the end: 0 for start and end, the place from 1 of broadcast words, else the hash."""
+        out = place + 1
+        for k in np.flatnonzero(out == 0).tolist():
+            out[k] = np.uint64(_hash(words[k])).astype(np.int64)
+        return np.append(0, out), np.append(out, 0)
+
+
 def _pairs(docs: DataFrame, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(code, n) of contexts with their symbols; each task sums into one array before anything is shuffled."""
 
@@ -114,6 +126,42 @@ def _pairs(docs: DataFrame, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return _arrays(rows.groupBy("code").agg(F.sum("n").alias("n")))
 
 
+def _summed(u: np.ndarray, w: np.ndarray) -> list[np.ndarray]:
+    order = np.lexsort((w, u))
+    u, w = u[order], w[order]
+    first = np.flatnonzero(np.append(True, (u[1:] != u[:-1]) | (w[1:] != w[:-1])))
+    return [u[first], w[first], np.diff(np.append(first, len(u)))]
+
+
+def count_pairs(docs: DataFrame, frequent: np.ndarray, hashes: np.ndarray) -> DataFrame:
+    """(u, w, n): how often word w follows word u, ids as in ``Symbols.ids``, for all pairs; counted in each task, then summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = Symbols(frequent, hashes)
+        held, size = [], 0
+
+        def give() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in _summed(*(np.concatenate(c) for c in zip(*held, strict=True)))], ["u", "w", "n"])
+
+        for b in batches:
+            for raw in b.column(0):
+                words = tokens(raw.as_py())
+                held.append(s.ids(words, s.text(words)[2]))
+                size += len(words) + 1
+                if size >= PAIRS:
+                    yield give()
+                    held, size = [], 0
+        if held:
+            yield give()
+
+    rows = docs.select(F.col("text").cast("binary").alias("raw")).mapInArrow(run, "u bigint, w bigint, n bigint")
+    return rows.groupBy("u", "w").agg(F.sum("n").alias("n"))
+
+
+def _pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mixed(mixed(u.view(_U)) * _U(3) + w.view(_U))
+
+
 def _arrays(df: DataFrame) -> tuple[np.ndarray, ...]:
     got = df.toArrow()
     return tuple(c.to_numpy(zero_copy_only=False) for c in got.columns)
@@ -248,13 +296,96 @@ class Shared:
     n_all: int
     n_distinct: int
     n_ends: int
+    #: Symbols of the words of ``hashes``; the pairs' discount.
+    symbols: np.ndarray
+    discount: float = 0.5
+    #: By id, start first: customers of the broadcast words' restaurants and what each leaves to the parent. Sorted keys of the
+    #: broadcast pairs and what their restaurant gives them.
+    customers: np.ndarray | None = None
+    left: np.ndarray | None = None
+    pairs: np.ndarray | None = None
+    given: np.ndarray | None = None
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + ADD) / (self.n_all + ADD * (self.n_distinct + 1)))
 
 
-def fit(docs: DataFrame) -> tuple[Shared, DataFrame]:
-    """The model of ``docs`` (a column text), and the table (h, n, lp) of words below the broadcast share."""
+def fit_pairs(pairs: DataFrame, words: DataFrame, shared: Shared) -> DataFrame:
+    """Seats every restaurant of a word's followers, and puts the broadcast words' and pairs' shares into ``shared``. The table
+    (u, w, n, p): of each pair met more than once, what its restaurant gives it; of each context, with null w, its customers and
+    what it leaves. A pair met once has one table in every sweep, so it needs no row: it is counted where w is 0 and n is 1.
+
+    A restaurant's base does not change, so all its sweeps are one pass over its rows, which meet in one task."""
+    one, two = pairs.agg(F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()
+    one, two = one or 0, two or 0
+    shared.discount = d = min(0.95, max(0.05, one / (one + 2 * two))) if one else 0.5
+    m = pairs.sparkSession.sparkContext.broadcast(shared)
+    size = len(shared.hashes)
+    again = pairs.where("n > 1")
+    common = again.where(F.col("w").between(0, size)).select("u", "w", "n", F.lit(None).cast("double").alias("lp"), F.lit(None).cast("int").alias("symbol"))
+    rare = again.where(~F.col("w").between(0, size)).join(words.select("h", "lp", "symbol"), F.col("w") == F.col("h")).select("u", "w", pairs["n"], "lp", "symbol")
+    singles = pairs.where("n = 1").groupBy("u").agg(F.count("*").alias("n")).select("u", F.lit(None).cast("bigint").alias("w"), "n", F.lit(None).cast("double").alias("lp"), F.lit(None).cast("int").alias("symbol"))
+
+    def seated(rows: pa.Table) -> pa.RecordBatch:
+        x = m.value
+        single = rows["w"].is_null().to_numpy()
+        u, w, n, lp, symbol = (rows[c].fill_null(0).to_numpy() for c in ("u", "w", "n", "lp", "symbol"))
+        n = n.astype(float)
+        met = (w >= 0) & (w <= size)
+        place = np.where(met & (w > 0), w - 1, 0)
+        at = np.append(x.words, 0.0)[place] if size else np.zeros(len(w))
+        lp = np.where(w == 0, 0.0, np.where(met, at, lp))
+        symbol = np.where(w == 0, x.table.shape[1] - 1, np.where(met, np.append(x.symbols, 0)[place], symbol))
+        f = len(x.frequent)
+        own = np.append(x.symbols, f)[np.where((u > 0) & (u <= size), u - 1, size)]
+        context = np.where(u == 0, 2 * f, np.where(own < f, own, len(x.table) - 1))
+        base = 10.0 ** (x.table[context, symbol] + lp)
+        begins = np.append(True, u[1:] != u[:-1])
+        g = np.cumsum(begins) - 1
+        total = 1.0 + np.bincount(g, n)
+        t, real = np.where(single, n, 1.0), ~single
+        key = mixed(_pair_key(u[real], w[real]))
+        gives, leaves = np.zeros(len(n)), np.zeros(len(total))
+        for sweep in range(BURN + SAMPLES):
+            weight = (1.0 + d * np.bincount(g, t)[g[real]]) * base[real]
+            t[real] = seat(n[real], weight, d, key, sweep)
+            if sweep >= BURN:
+                gives += (n - d * t) / SAMPLES
+                leaves += (1.0 + d * np.bincount(g, t)) / SAMPLES
+        cols = [np.concatenate([u[real], u[begins]]), pa.concat_arrays([pa.array(w[real]), pa.nulls(len(total), pa.int64())]), np.concatenate([n[real], total - 1]).astype(np.int64), np.concatenate([(gives / total[g])[real], leaves / total])]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["u", "w", "n", "p"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            u = b.column(0).to_numpy()
+            cut = int(np.searchsorted(u, u[-1]))  # the last restaurant may go on
+            if cut or held and held[-1].column(0)[-1].as_py() != u[0]:
+                whole = [*held, b.slice(0, cut)]
+                held = []
+                if sum(x.num_rows for x in whole):
+                    yield seated(pa.Table.from_batches(whole))
+            held.append(b.slice(cut))
+        if held:
+            yield seated(pa.Table.from_batches(held))
+
+    rows = common.union(rare).union(singles).repartition("u").sortWithinPartitions("u")
+    out = staged(rows.mapInArrow(run, "u bigint, w bigint, n bigint, p double"), "restaurants")
+    u, n, p = _arrays(out.where(F.col("w").isNull() & F.col("u").between(0, size)).select("u", "n", "p"))
+    shared.customers, shared.left = np.zeros(size + 1), np.ones(size + 1)
+    shared.customers[u.astype(np.int64)], shared.left[u.astype(np.int64)] = n, p
+    u, w, p = _arrays(out.where(F.col("w").isNotNull() & (F.col("n") * BROADCAST >= F.lit(shared.n_all))).select("u", "w", "p"))
+    key = _pair_key(u.astype(np.int64), w.astype(np.int64))
+    order = np.argsort(key)
+    shared.pairs, shared.given = key[order], p.astype(float)[order]
+    return out
+
+
+def fit(docs: DataFrame) -> tuple[Shared, DataFrame, tuple[DataFrame, DataFrame]]:
+    """The model of ``docs`` (a column text), the table (h, n, lp, symbol) of words below the broadcast share, and the tables of
+    all pairs and of the restaurants."""
     counts = staged(count_words(docs), "words")
     n_ends = docs.count()
     total, distinct = counts.agg(F.sum("n"), F.count("*")).first()
@@ -262,7 +393,8 @@ def fit(docs: DataFrame) -> tuple[Shared, DataFrame]:
     frequent = np.sort(np.array([r[0] for r in counts.where(F.col("n") * FREQUENT >= F.lit(n_all)).select("h").collect()], np.int64).view(_U))
     s = Symbols(frequent)
     code, n = _pairs(docs, frequent)
-    p = Model(code // s.size, code % s.size, n, [s.contexts, 1], [np.zeros(s.contexts, np.int64)], s.size).predictive()
+    symbols = Model(code // s.size, code % s.size, n, [s.contexts, 1], [np.zeros(s.contexts, np.int64)], s.size)
+    p = np.concatenate([symbols.predictive(), symbols.dense(1)])  # the last row is that of no context
     rare = _with_class(counts, frequent)
     speller = fit_speller(*_letters(rare))
     classes = fit_classes(rare, speller)
@@ -273,78 +405,134 @@ def fit(docs: DataFrame) -> tuple[Shared, DataFrame]:
         for b in batches:
             word, n, h, k = (b.column(i) for i in range(4))
             lp = shared_classes.value.log10(k.to_numpy(), n.to_numpy().astype(float), h.to_numpy(), shared_speller.value.log10(word.to_pylist()))
-            yield pa.RecordBatch.from_arrays([h, n, pa.array(lp)], ["h", "n", "lp"])
+            yield pa.RecordBatch.from_arrays([h, n, pa.array(lp), pa.array(k.to_numpy() + len(frequent), pa.int32())], ["h", "n", "lp", "symbol"])
 
-    words = staged(rare.select("word", "n", "h", "class").mapInArrow(run, "h bigint, n bigint, lp double").union(counts.join(F.broadcast(spark.createDataFrame([(int(x),) for x in frequent.view(np.int64)], "f bigint")), F.col("h") == F.col("f"), "left_semi").select("h", "n", F.lit(0.0))), "words-scored")
+    known = spark.createDataFrame([(int(x), i) for i, x in enumerate(frequent.view(np.int64))], "f bigint, symbol int")
+    own = counts.join(F.broadcast(known), F.col("h") == F.col("f")).select("h", "n", F.lit(0.0), "symbol")
+    words = staged(rare.select("word", "n", "h", "class").mapInArrow(run, "h bigint, n bigint, lp double, symbol int").union(own), "words-scored")
     often = F.col("n") * BROADCAST >= F.lit(n_all)
-    h, c, lp = _arrays(words.where(often))
+    h, c, lp, symbol = _arrays(words.where(often))
     h = h.astype(np.int64).view(_U)
     order = np.argsort(h)
-    shared = Shared(frequent, np.log10(np.maximum(p, 1e-300)).astype(np.float32), speller, classes, h[order], c[order].astype(float), lp[order].astype(float), n_all, n_distinct, n_ends)
-    return shared, words.where(~often)
+    shared = Shared(frequent, np.log10(np.maximum(p, 1e-300)).astype(np.float32), speller, classes, h[order], c[order].astype(float), lp[order].astype(float), n_all, n_distinct, n_ends, symbol[order].astype(np.int64))
+    words = words.where(~often)
+    pairs = staged(count_pairs(docs, frequent, shared.hashes), "pairs")
+    return shared, words, (pairs, fit_pairs(pairs, words, shared))
 
 
-def score_texts(docs: DataFrame, shared: Shared, words: DataFrame, held_out: str) -> DataFrame:
-    """One row for each row of ``docs`` (doc_id, text, and the flag ``held_out``).
+def score_texts(docs: DataFrame, shared: Shared, words: DataFrame, met: tuple[DataFrame, DataFrame], held_out: str) -> DataFrame:
+    """One row for each row of ``docs`` (doc_id, text, and the flag ``held_out``, set for no text that was learnt from).
 
-    Frequent words are looked up in what is broadcast; of the others, each text sends a row a distinct word to meet the table of words. By
-    their counts none of those is frequent, so no key is hot. The rows' partial sums meet by text.
+    Broadcast pairs of broadcast words are looked up; of the others, each text sends a row a distinct pair and context to meet the
+    table of pairs and, where one of the two words is rare, those of words and of restaurants. By their counts none of
+    those is frequent, so no key is hot. A pair of a learnt text that is not among those met again was met once; only the others'
+    rows need the table of all pairs. The rows' partial sums meet by text.
     """
+    pairs, restaurants = met
+    size, d = len(shared.hashes), shared.discount
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(shared)
-    names = ["row", "doc_id", "held_out", "word", "times", "spelt", "n_tokens", "n_known", "base", "score"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        m = model.value
-        s = Symbols(m.frequent, m.hashes)
-        base = m.base(m.counts)
-        of_end = float(m.base(np.array([m.n_ends]))[0])
-        row = TaskContext.get().partitionId() << 33
-        fixed = lambda x, kind, n: pa.array(np.full(n, x), kind)
-        for b in batches:
-            for i, j in pieces_of([len(x.as_py() or b"") for x in b.column(1)], PIECE):
-                part = b.slice(i, j - i)
-                sums: list[tuple] = []
-                owners, words, times, spelt = [], [], [], []
-                for raw, aside in zip(part.column(1), part.column(2).to_pylist(), strict=True):
-                    w = tokens(raw.as_py())
-                    context, x, at = s.text(w)
-                    hit = at[at >= 0]
-                    logs = float(m.table[context, x].sum(dtype=float)) + float(m.words[hit].sum())
-                    sums.append((len(w) + 1, len(hit) + (m.n_ends > 0), float(base[hit].sum()) + of_end, logs))
-                    rest = Counter([w[k] for k in np.flatnonzero(at < 0).tolist()])
-                    owners.append(len(rest))
-                    words += map(_hash, rest)
-                    times += rest.values()
-                    if aside and rest:
-                        ends = np.array([t[-1] for t in rest])
-                        spelt.append(m.speller.log10(list(rest)) + np.log10(m.classes.left(ends)))
-                    else:
-                        spelt.append(np.full(len(rest), np.nan))
-                ids = row + np.arange(len(sums), dtype=np.int64)
-                row += len(sums)
-                n_tokens, n_known, base_sum, score = (np.array(c) for c in zip(*sums, strict=True))
-                nothing = pa.nulls(len(sums), pa.int64())
-                own = [ids, part.column(0), part.column(2), pa.array(mixed(ids.view(_U)).view(np.int64)), nothing, pa.nulls(len(sums), pa.float64()), n_tokens, n_known, base_sum, score]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(own, kinds, strict=True)], names)
-                n, spelt = len(words), np.concatenate(spelt)
-                tail = [np.repeat(ids, owners), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), np.array(words, _U).view(np.int64), np.array(times, np.int64), pa.array(spelt, mask=np.isnan(spelt)), fixed(0, pa.int64(), n), fixed(0, pa.int64(), n), fixed(0.0, pa.float64(), n), fixed(0.0, pa.float64(), n)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(tail, kinds, strict=True)], names)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"), F.col(held_out).alias("held_out")).mapInArrow(run, ", ".join(f"{n} {'boolean' if pa.types.is_boolean(k) else 'bigint' if pa.types.is_integer(k) else 'double'}" for n, k in zip(names, kinds, strict=True)))
-    both = rows.join(words.select(F.col("h"), F.col("n"), F.col("lp")), (F.col("word") == F.col("h")) & F.col("times").isNotNull(), "left")
-    times = F.col("times")
-    c = F.coalesce("n", F.lit(0))
+    names = ["row", "doc_id", "held_out", "u", "w", "times", "parent", "spelt", "left", "once", "n_tokens", "n_known", "base", "score"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.float32(), pa.float32(), pa.float32(), pa.float32(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    schema = ", ".join(f"{n} {'boolean' if pa.types.is_boolean(k) else 'int' if k == pa.int32() else 'bigint' if pa.types.is_integer(k) else 'float' if k == pa.float32() else 'double'}" for n, k in zip(names, kinds, strict=True))
+
+    def rows_of(part_of: DataFrame, aside: bool, rare: bool) -> DataFrame:
+        """Rows of the pairs that have a rare word, or of the others and of the texts themselves."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = model.value
+            s = Symbols(m.frequent, m.hashes)
+            base = m.base(m.counts)
+            of_end = float(m.base(np.array([m.n_ends]))[0])
+            once = (1 - m.discount) / (1.0 + m.customers)
+            for b in batches:
+                for i, j in pieces_of([len(x.as_py() or b"") for x in b.column(1)], PIECE):
+                    part = b.slice(i, j - i)
+                    sums: list[tuple] = []
+                    got: list[list[np.ndarray]] = []
+                    ids = part.column(2).to_numpy()
+                    for row, raw in zip(ids, part.column(1), strict=True):
+                        words = tokens(raw.as_py())
+                        context, x, at = s.text(words)
+                        u, w = s.ids(words, at)
+                        at = np.append(at, -1)
+                        parent = m.table[context, x].astype(float)
+                        parent[at >= 0] += m.words[at[at >= 0]]
+                        few = (u < 0) | (u > size) | (w < 0) | (w > size)
+                        score = 0.0
+                        if not rare:
+                            p, q = u[~few], w[~few]
+                            key = _pair_key(p, q)
+                            place = np.searchsorted(m.pairs, key)
+                            hit = np.zeros(len(p), bool) if not len(m.pairs) else m.pairs[np.minimum(place, len(m.pairs) - 1)] == key
+                            score = float(np.log10(m.given[place[hit]] + m.left[p[hit]] * 10.0 ** parent[~few][hit]).sum())
+                            use = np.flatnonzero(~few)[~hit]
+                            seen = at[at >= 0]
+                            sums.append((len(w), len(seen) + (m.n_ends > 0), float(base[seen].sum()) + of_end, score))
+                        else:
+                            use = np.flatnonzero(few)
+                        # pairs that repeat with the same context are one row
+                        order = use[np.lexsort((context[use], w[use], u[use]))]
+                        same = (u[order][1:] == u[order][:-1]) & (w[order][1:] == w[order][:-1]) & (context[order][1:] == context[order][:-1])
+                        first = np.flatnonzero(np.append(True, ~same)) if len(order) else order
+                        times, use = np.diff(np.append(first, len(order))), order[first]
+                        spelt = np.full(len(use), np.nan)
+                        if rare and aside:
+                            new = np.flatnonzero((w[use] < 0) | (w[use] > size))
+                            spell = [words[k] for k in use[new].tolist()]
+                            spelt[new] = m.speller.log10(spell) + np.log10(m.classes.left(np.array([t[-1] for t in spell], np.int64)))
+                        where = np.where((u[use] >= 0) & (u[use] <= size), u[use], -1)
+                        left = np.where(where >= 0, m.left[where], np.nan)
+                        got.append([np.full(len(use), row), u[use], w[use], times, parent[use], spelt, left, np.where(where >= 0, once[where], np.nan)])
+                    if sums:
+                        n = len(sums)
+                        none = [pa.nulls(n, t) for t in kinds[3:10]]
+                        own = [ids, part.column(0), pa.array([aside] * n), *none, *(np.array(c) for c in zip(*sums, strict=True))]
+                        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(own, kinds, strict=True)], names)
+                    of, u, w, times, parent, spelt, left, single = (np.concatenate(c) for c in zip(*got, strict=True))
+                    n = len(of)
+                    tail = [of, pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), u, w, times, parent, pa.array(spelt, pa.float32(), mask=np.isnan(spelt)), pa.array(left, pa.float32(), mask=np.isnan(left)), pa.array(single, pa.float32(), mask=np.isnan(left)), *(pa.nulls(n, t) for t in kinds[10:])]
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c).cast(t) for c, t in zip(tail, kinds, strict=True)], names)
+
+        return part_of.mapInArrow(run, schema).withColumn("aside", F.lit(aside))
+
+    again = restaurants.where("w IS NOT NULL").select(F.xxhash64("u", "w").alias("k"), F.col("p").cast("float").alias("gives"))
+    once = pairs.where("n = 1").select(F.xxhash64("u", "w").alias("k"), F.lit(None).cast("float").alias("gives"))
+    of_word = words.select("h", F.col("n").alias("c"), F.col("lp").cast("float").alias("lp"))
+    of_context = restaurants.where(F.col("w").isNull() & ~F.col("u").between(0, size)).select(F.col("u").alias("v"), F.col("p").cast("float").alias("leaves"), (F.lit(1 - d) / (1.0 + F.col("n"))).cast("float").alias("single"))
     total = shared.n_all + ADD * (shared.n_distinct + 1)
-    some = times.isNotNull()
-    out = both.groupBy("row").agg(
+    sums = []
+    for aside in (False, True):
+        d0 = docs.where(F.col(held_out) == aside).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"), F.monotonically_increasing_id().alias("id"))
+        table = (again.union(once) if aside else again).withColumn("met", F.lit(True))
+        for rare in (False, True):
+            all_rows = rows_of(d0, aside, rare)
+            if not rare:
+                sums.append(all_rows.where("u IS NULL").select("row", "aside", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"))
+            rows = all_rows.where("u IS NOT NULL").select("row", "aside", F.xxhash64("u", "w").alias("k"), "u", "w", "times", "parent", "spelt", "left", "once").join(table, "k", "left")
+            c, parent, left, single = F.lit(0), F.col("parent"), F.col("left"), F.col("once")
+            is_rare = F.lit(False)
+            if rare:
+                is_rare = ~F.col("w").between(0, size)
+                rows = rows.join(of_word, F.when(is_rare, F.col("w")).otherwise(F.col("k")) == F.col("h"), "left")
+                rows = rows.join(of_context, F.when(~F.col("u").between(0, size), F.col("u")).otherwise(F.col("k")) == F.col("v"), "left")
+                c = F.coalesce("c", F.lit(0))
+                parent = parent + F.when(is_rare, F.coalesce("lp", "spelt")).otherwise(F.lit(0.0))
+                left, single = F.coalesce("left", "leaves", F.lit(1.0)), F.coalesce("once", "single", F.lit(0.0))
+            gives = F.coalesce("gives", F.when(F.col("met"), single).otherwise(F.lit(0.0)) if aside else single)
+            p = gives.cast("double") + left.cast("double") * F.pow(F.lit(10.0), parent.cast("double"))
+            sums.append(rows.select(
+                "row", "aside", F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"), F.lit(0).cast("bigint").alias("n_tokens"),
+                F.when(is_rare & (c > 0), F.col("times")).otherwise(0).cast("bigint").alias("n_known"),
+                F.when(is_rare, F.col("times") * F.log10((c + F.lit(ADD)) / F.lit(total))).otherwise(0.0).alias("base"),
+                (F.col("times") * F.log10(p)).alias("score"),
+            ).groupBy("row", "aside").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score"))))
+    both = sums[0]
+    for more in sums[1:]:
+        both = both.union(more)
+    out = both.groupBy("row", "aside").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(some & (c > 0), times).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(some, times * F.log10((c + F.lit(ADD)) / F.lit(total))).otherwise(0.0)).alias("base_score"),
-        F.sum(F.col("score") + F.when(some, times * F.coalesce("lp", "spelt")).otherwise(0.0)).alias("score"),
+        F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"),
     )
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(shared.n_all).cast("long").alias("train_tokens"), "base_score", "score")
 
@@ -360,8 +548,8 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     end alone; ids may be null or repeat; other columns are not read; with nothing to learn from, symbols and spellings
     are alike; an empty table gives an empty result."""
     d = docs.select("doc_id", "text", (fold(F.col("doc_id"), 10) == 0).alias("aside"))
-    shared, words = fit(d.where("NOT aside"))
-    return score_texts(d, shared, words, "aside")
+    shared, words, met = fit(d.where("NOT aside"))
+    return score_texts(d, shared, words, met, "aside")
 
 
 def op6(spark, sf_dir):

@@ -145,6 +145,18 @@ def test_lm(spark, docs):
     assert p[False].perplexity < p[False].base_perplexity and p[True].perplexity < 2 * p[True].base_perplexity
 
 
+def test_every_word_is_a_context(spark):
+    """Rare words that always follow one another: only their own restaurants can tell."""
+    a, b = [f"qa{i}x" for i in range(2000)], [f"zb{i}x" for i in range(2000)]
+    right = [(i, " ".join(f"{a[(i * 37 + k) % 2000]} {b[(i * 37 + k) % 2000]}" for k in range(0, 2000, 7))) for i in range(60)]
+    wrong = " ".join(f"{a[k]} {b[k - 1]}" for k in range(0, 2000, 7))
+    rare = next(i for i in range(1000, 9999) if held(i, 10)), next(i for i in range(10_000, 99_999) if held(i, 10))
+    d = spark.createDataFrame([*right, (rare[0], right[1][1]), (rare[1], wrong)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in lm.lm_scores(d).collect()}
+    assert got[rare[0]].n_tokens == got[rare[1]].n_tokens and got[rare[0]].n_known == got[rare[1]].n_known
+    assert got[rare[0]].score > got[rare[1]].score + 200
+
+
 def test_model_is_normalised():
     rng = np.random.default_rng(0)
     code = np.unique(rng.integers(0, 200, 90))

@@ -104,29 +104,50 @@ def _member(r: _Range, at: int, whole: bool = True) -> tuple[bytes, int] | None:
     return b"".join(out), pos - len(z.unused_data)
 
 
+def _is_boundary(file, size: int, at: int) -> bool:
+    """Whether a member of the file begins at ``at``, told by all before it. Bytes before it that are no member raise."""
+    pos = 0
+    while pos < at:
+        got = _member(_Range(file, size, pos, 1 << 16), pos)
+        if got is None:
+            raise ValueError(f"bytes at {pos} are not a WARC member: the archive is damaged or cut off")
+        pos = got[1]
+    return pos == at
+
+
 def members(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]]:
     """(offset, content) of the records that start in [start, end).
 
     Candidates are found by gzip magic and kept if they decode to a WARC header. Within a file's middle the first one
-    also needs a member or the file's end right behind it, since its magic may lie inside another record.
+    also needs a member or the file's end right behind it, since its magic may lie inside another record; where there is
+    neither, the file is read from its beginning to tell. What follows a member and is neither a member nor the file's end raises;
+    a range also tries the member behind its last one, which the next range can't know to begin there.
     """
     r = _Range(file, size, start)
     pos, sure = start, start == 0
+
+    def damaged(at: int) -> bool:
+        if _is_boundary(file, size, at):
+            raise ValueError(f"bytes at {at} are not a WARC member: the archive is damaged or cut off")
+        return False  # these members lie inside a record
+
     while pos < min(end, size):
-        found = bytes(r.until(end + 2)[: end + 2 - start]).find(MAGIC, pos - start) if not sure else (pos - start if bytes(r.until(pos + 3)[pos - start : pos - start + 3]) == MAGIC else -2)
-        if found == -2:
-            sure = False
-            continue
+        found = bytes(r.until(end + 2)[: end + 2 - start]).find(MAGIC, pos - start) if not sure else pos - start
         if found < 0 or start + found >= end:
             return
         at = start + found
         got = _member(r, at)
-        if got is None or not sure and got[1] < size and (bytes(r.until(got[1] + 3)[got[1] - start : got[1] - start + 3]) != MAGIC or _member(r, got[1], whole=False) is None):
-            pos, sure = at + 1, False
+        if got is None and sure:
+            sure = damaged(at)
+            continue
+        if got is None or not sure and got[1] < size and (bytes(r.until(got[1] + 3)[got[1] - start : got[1] - start + 3]) != MAGIC or _member(r, got[1], whole=False) is None) and not _is_boundary(file, size, at):
+            pos = at + 1
             continue
         if got[0]:
             yield at, got[0]
         pos, sure = got[1], True
+    if sure and pos < size and _member(r, pos) is None:
+        damaged(pos)
 
 
 def parse(record: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:

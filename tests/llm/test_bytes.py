@@ -148,6 +148,33 @@ def test_warc_reader_survives_false_magic(tmp_path):
         assert [x[1] for x in found] == [plain] * 3
 
 
+def test_warc_reader_raises_at_damage():
+    record = [warc._record(i, "u", bytes([65 + i]) * 300, hashlib.sha256(bytes([65 + i]) * 300).hexdigest(), None) for i in range(4)]
+    size = [len(x) for x in record]
+    hurt = record[2][:40] + bytes(60) + record[2][100:]
+
+    def read(data, split):
+        class File:
+            def read_at(self, n, at):
+                return data[at : at + n]
+
+        return [x for at in range(0, len(data), split) for x in warc.members(File(), len(data), at, min(at + split, len(data)))]
+
+    whole = b"".join(record)
+    for split in (50, size[0], size[0] + 5, 1 << 20):
+        assert len(read(whole, split)) == 4
+        for data in (record[0] + record[1] + hurt + record[3], whole[:-30], whole + b"padding", record[0] + bytes(9) + whole):
+            with pytest.raises(ValueError, match="damaged"):
+                read(data, split)
+
+    class Padded:  # a sound record in the middle, something else behind it
+        def read_at(self, n, at):
+            return (record[0] + record[1] + b"padding")[at : at + n]
+
+    found = warc.members(Padded(), size[0] + size[1] + 7, size[0] - 5, size[0] + 5)
+    assert next(found)[0] == size[0]
+
+
 @pytest.fixture(scope="module")
 def model():
     path = pieces.default_model()

@@ -34,6 +34,7 @@ _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1
 _POWER = np.concatenate([[_U(1)], np.cumprod(np.full(255, 0x9E3779B97F4A7C15, _U), dtype=_U)])
 #: Letters, digits and all bytes beyond ASCII make words.
 _IN_WORD = np.array([chr(c).isalnum() if c < 128 else True for c in range(256)])
+_PLAIN = bytes(c if _IN_WORD[c] else 32 for c in range(256))
 
 
 @dataclass
@@ -177,24 +178,26 @@ class Network:
 
     @staticmethod
     def _stretches(texts: list[bytes], first: int) -> Iterator[tuple[list[bytes], list[int]]]:
-        """Texts to work on at once; a very long one in stretches that overlap by a window's words, at white space."""
+        """Texts to work on at once; a very long one in stretches whose windows are together those of the uncut text: each ends
+        behind a multiple of STRIDE words, the next begins STRIDE words earlier."""
         if len(texts) > 1 or len(texts[0]) <= 2 * PIECE:
             yield texts, list(range(first, first + len(texts)))
             return
-        raw, at = texts[0], 0
-        while at < len(raw):
-            end = raw.find(b" ", at + PIECE)
-            end = len(raw) if end < 0 else end
-            yield [raw[at:end]], [first]
-            if end >= len(raw):
+        raw, at, size = texts[0].translate(_PLAIN).rstrip(b" "), 0, PIECE
+        while True:
+            end = raw.find(b" ", at + size)
+            if end < 0:
+                yield [raw[at:]], [first]
                 return
-            back = end
-            for _ in range(WINDOW):
-                back = raw.rfind(b" ", at, back)
-                if back <= at:
-                    back = end
-                    break
-            at = back
+            inside = np.frombuffer(raw[at:end], np.uint8) != 32
+            starts = np.flatnonzero(inside & ~np.append(False, inside[:-1]))
+            whole = len(starts) // STRIDE * STRIDE
+            if whole < WINDOW:
+                size *= 2
+                continue
+            # a word follows, since none but spaces were cut off the end
+            yield [raw[at : at + starts[whole] if whole < len(starts) else end]], [first]
+            at, size = at + int(starts[whole - STRIDE]), PIECE
 
 
 def _gradients(net: Network, x: np.ndarray, there: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:

@@ -127,6 +127,19 @@ def test_long_text_scores_its_worst_window(monkeypatch):
     assert net.score([b"", b"  \n"]).tolist() == [0.1, 0.1]
 
 
+@pytest.mark.parametrize("gap", [b"\n", b"\t", b" " * 40, b" ", b"\n" + b" " * 70])
+def test_stretches_have_the_windows_of_the_text(monkeypatch, gap):
+    net = toxicity.Network(np.empty(0, np.uint64), 0.1)
+    for n in (1500, 1504, 1520):
+        text = gap.join(b"w%d" % (i * i % 97) for i in range(n)) + gap
+        _, whole = net.windows(toxicity.words_of([text]), 1)
+        with monkeypatch.context() as m:
+            m.setattr(toxicity, "PIECE", 2000)
+            parts = [p for p, _ in net._stretches([text], 0)]
+        cut = np.concatenate([net.windows(toxicity.words_of(p), 1)[1] for p in parts])
+        assert len(parts) > 1 and cut == pytest.approx(whole, abs=1e-4)
+
+
 def test_lm(spark, docs):
     rows = lm.lm_scores(docs).collect()
     raw = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]

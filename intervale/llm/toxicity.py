@@ -18,10 +18,12 @@ STRIDE = 16
 WINDOW = 2 * STRIDE
 #: Widths: word embedding, character embedding, hidden state of each direction; buckets of hashed byte trigrams.
 WORD, CHAR, HIDDEN, BUCKETS = 8, 8, 8, 4096
-#: The training sample: rows of either label at most, and the longest text taken into it, in characters.
-POSITIVES, NEGATIVES, LONGEST = 1000, 2000, 6000
+#: The training sample: rows of either label at most, and the characters taken of a text; of a longer one PARTS pieces spread over it.
+POSITIVES, NEGATIVES, LONGEST, PARTS = 1000, 2000, 6000, 4
 #: Words in the vocabulary at most; the share of sampled texts a word must be in.
 VOCABULARY, LEAST_SHARE = 4096, 1 / 150
+#: Windows of the first pass, or one a text if there are more texts: first one of each text, then a second, and so on.
+FIRST = 16_000
 #: Passes over one window a text after the first, and the learning rate.
 PASSES, RATE = 10, 0.01
 #: Slots of a table that finds vocabulary words by hash.
@@ -237,6 +239,16 @@ def _gradients(net: Network, x: np.ndarray, there: np.ndarray, y: np.ndarray, we
     return grad, dx
 
 
+def _in_turn(doc: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Windows in random order, but one of each text before a second of any."""
+    order = rng.permutation(len(doc))
+    by = order[np.argsort(doc[order], kind="stable")]
+    first = np.flatnonzero(np.append(True, doc[by][1:] != doc[by][:-1])) if len(by) else by
+    turn = np.empty(len(doc), np.int64)
+    turn[by] = np.arange(len(by)) - np.repeat(first, np.diff(np.append(first, len(by))))
+    return order[np.argsort(turn[order], kind="stable")]
+
+
 def train(rows: list[tuple[str, int]], base: float, seed: int = 3) -> Network:
     """Fit to (text, label) rows. The first pass takes some windows of every text under its text's label, later ones each text's
     highest window, so the network learns which windows make a text toxic. Without rows of both labels, every score is
@@ -297,7 +309,7 @@ def train(rows: list[tuple[str, int]], base: float, seed: int = 3) -> Network:
     have = np.flatnonzero(count)
     all_doc = np.repeat(have, per[have])
     all_window = np.arange(len(all_doc)) - np.repeat(np.cumsum(per[have]) - per[have], per[have])
-    some = rng.permutation(len(all_doc))[:16_000]
+    some = _in_turn(all_doc, rng)[: max(FIRST, len(have))]
     passes(all_doc[some], all_window[some])
     pieces = [(i, words_of([t.encode() for t, _ in rows[i:j]]), j - i) for i, j in pieces_of([len(t) for t, _ in rows], PIECE // 2)]
     for _ in range(PASSES):
@@ -312,14 +324,20 @@ def train(rows: list[tuple[str, int]], base: float, seed: int = 3) -> Network:
 
 def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[list[tuple[str, int]], float]:
     """A bounded sample of (text, label), at most POSITIVES and NEGATIVES rows by a hash of the id, and the share of
-    positives among all rows that may be learnt from. Texts longer than LONGEST characters are not taken into it."""
+    positives among all rows that may be learnt from: those whose document is there. Texts longer than LONGEST characters give
+    so many, in PARTS pieces spread evenly from their beginning to their end."""
     lab = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
-    lab = lab.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    there = docs.where(F.col("text").isNotNull()).select("doc_id")
+    lab = lab.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).join(there, "doc_id", "left_semi")
     counts = dict(lab.groupBy("label").count().collect())
     order = F.xxhash64("doc_id", F.lit("toxicity"))
     pick = lab.where("label = 1").orderBy(order, "doc_id").limit(POSITIVES).union(lab.where("label = 0").orderBy(order, "doc_id").limit(NEGATIVES))
-    d = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").where(F.col("text").isNotNull()).where(F.length("text") <= LONGEST)
-    rows = [(t, y) for t, y in d.select("text", "label").limit(2 * (POSITIVES + NEGATIVES)).collect()]
+    d = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").where(F.col("text").isNotNull())
+    size = LONGEST // PARTS
+    step = (F.length("text") - size) / (PARTS - 1)
+    parts = F.concat_ws("\n", *(F.col("text").substr((step * k).cast("int") + 1, F.lit(size)) for k in range(PARTS)))
+    d = d.select(F.when(F.length("text") <= LONGEST, F.col("text")).otherwise(parts).alias("text"), "label")
+    rows = [(t, y) for t, y in d.limit(2 * (POSITIVES + NEGATIVES)).collect()]
     return rows, counts.get(1, 0) / max(1, sum(counts.values()))
 
 

@@ -140,6 +140,25 @@ def test_stretches_have_the_windows_of_the_text(monkeypatch, gap):
         assert len(parts) > 1 and cut == pytest.approx(whole, abs=1e-4)
 
 
+def test_sample_is_bounded_after_the_join(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "POSITIVES", 5)
+    monkeypatch.setattr(toxicity, "NEGATIVES", 5)
+    ids = [i for i in range(400) if not held(i, 5)]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id bigint, toxic int")
+    long = "first " + "word " * 4000 + "last"
+    d = spark.createDataFrame([(i, f"{i} {long}" if k % 2 else f"text {i}") for k, i in enumerate(ids) if k >= len(ids) - 20], "doc_id bigint, text string")
+    rows, base = toxicity.sample(d, labels)
+    assert sorted(y for _, y in rows) == [0] * 5 + [1] * 5 and base == 0.5
+    for t, y in rows:
+        assert len(t) <= toxicity.LONGEST + 3 and (not y or " first " in t and t.endswith(" last"))
+
+
+def test_first_pass_takes_some_of_each_text():
+    doc = np.repeat(np.arange(50), np.where(np.arange(50) == 7, 5000, 3))
+    got = toxicity._in_turn(doc, np.random.default_rng(0))
+    assert sorted(got) == list(range(len(doc))) and sorted(doc[got[:50]]) == list(range(50)) and set(doc[got[50:100]]) == set(range(50))
+
+
 def test_lm(spark, docs):
     rows = lm.lm_scores(docs).collect()
     raw = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]

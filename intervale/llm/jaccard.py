@@ -537,13 +537,16 @@ def _tried(keys: DataFrame, info: DataFrame, comp: DataFrame, mixed: DataFrame)
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, that with the smallest id; columns unchanged. Rows
-    with a null id stay; of rows that repeat an id one stays."""
+    with a null id stay; of rows that repeat an id that with the smallest hash of text and other columns stays."""
     found = staged(near_duplicates(docs), "near")
     drop = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped")).distinct(), "dropped")
     kept = bounded_join(docs, drop, F.col("doc_id") == F.col("dropped"), "left_anti")
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))
+    row = F.struct(F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.xxhash64(*docs.columns))
+    one = kept.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("of"), row.alias("least")).groupBy("of").agg(F.min("least").alias("least"))
+    same = kept.where("doc_id IS NOT NULL").join(one, (F.col("doc_id") == F.col("of")) & (row == F.col("least")), "left_semi")
+    return same.dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))
 
 
 def op2(spark, sf_dir):

@@ -74,6 +74,13 @@ def test_near_duplicates(spark, copies):
     assert kept.columns == d.columns and sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
 
 
+def test_which_row_of_an_id_stays_does_not_depend_on_order(spark):
+    rows = [(i, f"{k} of {i} " + "x " * k) for i in range(8) for k in range(6)]
+    want = {i: min((t for j, t in rows if j == i), key=lambda t: hashlib.md5(t.encode()).hexdigest()) for i in range(8)}
+    d = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.text for r in jaccard.keep_one(d).collect()}.items() <= want.items()
+
+
 def test_small_blocks_find_the_same(spark, copies, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 5)
     monkeypatch.setattr(jaccard, "LARGE", 3)

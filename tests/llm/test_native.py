@@ -104,6 +104,20 @@ def test_secrets_by_brute_force(spark):
             assert not _spans(clean[i]), clean[i]
 
 
+KEY = "\n".join("MIIEpAIBAAKCAQEA" + "b7Xz/+k9" * 6 for _ in range(25)) + "\nq1w2e3r4=="
+
+
+def test_whole_private_keys_are_redacted(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123\n\n"
+    texts = [f"a. {begin}\n{KEY}\n{end} b.", f"{begin}\n{head}{KEY}\n{end}", f"a. {begin}\n{KEY}", f"{begin} is how a key begins, he said.", begin + "\\n" + KEY.replace("\n", "\\n") + "\\n" + end + ".", f"{begin}\n{KEY}\n{end} and then {begin}\n{KEY}\n{end}"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in secrets.redact(d).collect()}
+    assert not any("MIIE" in t or "k9" in t for t in clean.values())
+    assert clean[0] == "a. [secret] b." and clean[1] == "[secret]" and clean[3] == "[secret] is how a key begins, he said." and clean[5] == "[secret] and then [secret]"
+    assert sorted((r.doc_id, [tuple(x) for x in r.found]) for r in secrets.scan_secrets(d).collect()) == [(i, _spans(t)) for i, t in enumerate(texts)]
+
+
 def test_trigram_queries():
     q = secrets.trigram_query("(?:abc|xyz)d?e+[0-9]fgh")
     assert frozenset(["abc", "fgh"]) in {frozenset(x) for x in q} or all("fgh" in x for x in q)
@@ -159,6 +173,53 @@ def test_mix(spark, docs, empty):
     assert again.columns == ["doc_id", "text", "source"] and again.count() >= 1
 
 
+def test_shards_draw_scattered_blocks_of_the_trees_quotas(spark):
+    d = spark.createDataFrame([(i, "w " * (1 + i % 9), f"s{i % 3}") for i in range(900)], "doc_id long, text string, source string")
+    got = mixing.mix(d).collect()
+    quota = {r.source: round(r.target) for r in got}
+    block = sum(quota.values()) // (2**mixing.LEVELS * mixing.BLOCKS_A_SHARD)
+    names = sorted(quota)
+    tree = mixing.shard_quotas(spark.createDataFrame([(k + 1, -(-quota[s] // block)) for k, s in enumerate(names)], "rn int, blocks bigint"))
+    want = {(names[r.rn - 1], r.shard): r.blocks * block for r in tree.collect()}
+    drawn, tape = Counter(), {s: {} for s in names}
+    at = Counter()
+    for r in sorted(got, key=lambda r: (r.source, r.key, r.doc_id)):
+        assert r.shard_words == ",".join(str(sum(x.words for x in r.pieces if x.shard == k)) for k in range(2**mixing.LEVELS))
+        for x in r.pieces:
+            drawn[r.source, x.shard] += x.words
+            for k in range(x.words):
+                p = at[r.source] + getattr(x, "pass") * r.source_size + x.start + k
+                assert tape[r.source].setdefault(p, x.shard) == x.shard and p < quota[r.source]
+        at[r.source] += r.size
+    assert all(want[k] - block < drawn[k] <= want[k] for k in want)  # a source's last block may be short
+    for s in names:
+        assert sorted(tape[s]) == list(range(quota[s]))  # every word of the quota once
+        line = [tape[s][p] for p in range(0, quota[s], block)]
+        turns = sum(a != b for a, b in zip(line, line[1:], strict=False))
+        assert turns > 0.75 * (len(line) - 1)  # an eighth of neighbouring blocks would meet by chance
+
+
+def test_mixed_rows_by_brute_force(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(mixing, "RANGE_WORDS", 300)
+    rows = [(i, f"w{i} " * (1 + i % 9), f"s{i % 3}", "x") for i in range(300)] + [(7, "twice the same row", "s1", "y")] * 5 + [(None, "no id", None, None), (7, "twice", "s1", "z"), (999, None, "s2", None), (998, "", None, "e")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, key string")
+    plan = mixing.mix(d, also=d.columns).collect()
+    want = Counter()
+    for r in plan:
+        starts = [x for x in r.pieces if x.start == 0]
+        assert len(starts) <= 2
+        want[r.doc_id, r.size] += len(starts)
+    out = mixing.mixed_rows(d)
+    got = out.collect()
+    assert out.columns == d.columns and set(map(tuple, got)) <= set(rows)
+    assert Counter((r.doc_id, len(r.text.split())) for r in got) == +want
+    assert [tuple(r) for r in got] == [tuple(r) for r in mixing.mixed_rows(d.repartition(5)).collect()]
+    assert [r.doc_id for r in got] != sorted((r.doc_id for r in got), key=lambda x: x or 0)
+    shard = {(x.place, x.shard) for r in plan for x in r.pieces}
+    assert {s for _, s in shard} == set(range(2**mixing.LEVELS))
+    assert mixing.mixed_rows(docs).columns == docs.columns and mixing.mixed_rows(empty).count() == 0
+
+
 def test_splitting_tree(spark):
     q = spark.createDataFrame([(1, 100), (2, 37), (3, 0), (4, 863)], "rn int, blocks bigint")
     means = Counter()

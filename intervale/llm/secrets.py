@@ -33,9 +33,9 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]+", 0, 32, gate=r"[0-9a-f]{32}"),
 )
-#: Publicly documented token shapes, in natural order.
+#: Publicly documented token shapes, in natural order. A private key reaches to its END line, or as far as lines of base 64 follow.
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\x20\x09-\x0D\\-]*?-----END [A-Z ]*PRIVATE KEY-----|(?:[\x20\x09-\x0D\\rn]*[A-Za-z0-9+/=]{16,}){0,60})"),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[0-9A-Za-z_-]{35}"),

@@ -16,10 +16,11 @@ from intervale.llm.common import fold, pieces_of
 
 #: Buckets of hashed byte n-grams, their lengths, and the width of an embedding.
 BUCKETS, LENGTHS, WIDTH = 1 << 14, (2, 3, 4), 16
-#: The training sample: rows a language at most, and the longest text taken into it, in characters.
-ROWS_A_LANGUAGE, LONGEST = 400, 20_000
-#: Bytes of a training segment, passes, rate; and the share of right answers that calibration may reject.
-SEGMENT, PASSES, RATE, REJECT = 240, 6, 4.0, 0.01
+#: The training sample: about so many rows a language, the characters taken of a text, and of a longer one in how many pieces spread over it.
+ROWS_A_LANGUAGE, LONGEST, PARTS = 400, 12_000, 6
+#: Bytes of a training segment and how many a text gives at most, drawn from all of it; passes, rate; and the share of right answers
+#: that calibration may reject.
+SEGMENT, SEGMENTS, PASSES, RATE, REJECT = 240, 6, 6, 4.0, 0.01
 #: Bytes of text worked on at a time.
 PIECE = 1 << 20
 LETTER = regex.compile(r"\p{L}")
@@ -106,7 +107,7 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model:
     for k, (text, lang) in enumerate(sorted(rows)):
         raw = text.encode()
         cuts = [raw[i : i + SEGMENT] for i in range(0, max(len(raw), 1), SEGMENT)]
-        for s in [cuts[i] for i in rng.permutation(len(cuts))[:6]]:
+        for s in [cuts[i] for i in rng.permutation(len(cuts))[:SEGMENTS]]:
             segments.append(s)
             ys.append(langs.index(lang))
             aside.append(k % 5 == 0)
@@ -154,15 +155,20 @@ def train(rows: list[tuple[str, str]], seed: int = 5) -> Model:
 
 def sample(docs: DataFrame, per_language: int = ROWS_A_LANGUAGE, longest: int = LONGEST) -> list[tuple[str, str]]:
     """A bounded sample of (text, lang) from the rows that may be learnt from: by a hash of the id, about ``per_language``
-    rows of each language and at most twice as many, of texts of at most ``longest`` characters."""
-    d = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
+    rows of each language and at most twice as many in all; texts of more than ``longest`` characters give so many, in PARTS
+    pieces spread evenly from their beginning to their end. The rows are the same in every run."""
+    d = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), 5) != 0))
     counts = dict(d.groupBy("lang").count().collect())
     if not counts:
         return []
     share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(1.0, per_language / n))) for lang, n in sorted(counts.items())))
-    u = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    d = d.where((u < share) & F.col("text").isNotNull()).where(F.length("text") <= longest)
-    return [(t, lang) for t, lang in d.select("text", "lang").limit(2 * per_language * len(counts)).collect()]
+    h = F.xxhash64("doc_id", "text", F.lit("langid"))
+    d = d.where(F.pmod(h, F.lit(1 << 30)) / float(1 << 30) < share)
+    size = longest // PARTS
+    step = (F.length("text") - size) / (PARTS - 1)
+    parts = F.concat_ws(" ", *(F.col("text").substr((step * k).cast("int") + 1, F.lit(size)) for k in range(PARTS)))
+    d = d.select(h.alias("h"), F.when(F.length("text") <= longest, F.col("text")).otherwise(parts).alias("text"), "lang")
+    return [(t, lang) for _, t, lang in d.orderBy("h", "lang", "text").limit(2 * per_language * len(counts)).collect()]
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

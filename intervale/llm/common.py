@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
-from contextlib import contextmanager, suppress
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from intervale.tables import shared_dir, staged, table
 
-__all__ = ["SPACE", "WORD", "arrow_rows", "bounded_join", "fold", "pieces_of", "shared_dir", "staged", "table", "trim", "word_array"]
+__all__ = ["SPACE", "WORD", "bounded_join", "fold", "free_name", "pieces_of", "shared_dir", "small_batches", "staged", "table", "trim", "word_array"]
 
 #: ASCII white space and its complement, as every contract here splits words.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -37,32 +38,35 @@ def bounded_join(left: DataFrame, keys: DataFrame, on, how: str, limit: int = BR
 
 
 def pieces_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Runs [i, j) of rows whose sizes add up to about ``most`` at least; a single larger row is a run of its own."""
+    """Runs [i, j) of rows whose sizes add up to ``most`` at most; a larger row is a run of its own, whatever is beside it."""
     start, total = 0, 0
     for k, n in enumerate(sizes):
+        if k > start and total + n > most:
+            yield start, k
+            start, total = k, 0
         total += n
-        if total >= most:
-            yield start, k + 1
-            start, total = k + 1, 0
     if start < len(sizes):
         yield start, len(sizes)
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Actions within send Python at most ``rows`` rows at a time, for rows that hold long texts or sets; the session's setting
-    is put back."""
+def free_name(name: str, columns: list[str]) -> str:
+    """``name``, or with as many underscores behind it as make it differ from all ``columns``."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """From now on the session sends Python at most ``rows`` rows at a time, or fewer where it already does: rows hold whole texts
+    or sets, and what is sent at a time is held several times over, by the JVM and by the worker."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    now = int(spark.conf.get(name))
+    spark.conf.set(name, str(min(rows, now) if now > 0 else rows))
 
 
 def trim() -> None:
     """Give the memory that a worker has freed back to the system, where the C library can: workers live on, and what one
     stage's arrays took would count against the next."""
+    pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intervale.llm.common import BROADCAST_ROWS, arrow_rows, bounded_join, staged, trim
+from intervale.llm.common import BROADCAST_ROWS, bounded_join, free_name, small_batches, staged, trim
 from intervale.llm.graph import components
 
 #: Words of a shingle, and the least similarity in percent.
@@ -211,6 +211,7 @@ def keyed(docs: DataFrame, rows: int = ROWS) -> DataFrame:
         if keys:
             yield flush(keys, ids)
         keys = ids = None
+        _words.clear()
         trim()
 
     return _raw(docs).mapInArrow(run, MET)
@@ -307,8 +308,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows that repeat an id share its component, each with its own size; other columns are not read; an empty table gives
     an empty result.
     """
-    with arrow_rows(docs.sparkSession, BATCH):
-        return _near_duplicates(docs)
+    small_batches(docs.sparkSession, BATCH)
+    return _near_duplicates(docs)
 
 
 def _near_duplicates(docs: DataFrame) -> DataFrame:
@@ -539,13 +540,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near duplicates, that with the smallest id; columns unchanged. Rows
     with a null id stay; of rows that repeat an id that with the smallest hash of text and other columns stays."""
     found = staged(near_duplicates(docs), "near")
-    drop = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias("dropped")).distinct(), "dropped")
-    kept = bounded_join(docs, drop, F.col("doc_id") == F.col("dropped"), "left_anti")
+    dropped, of, least = (free_name(n, docs.columns) for n in ("dropped", "of", "least"))
+    drop = staged(found.where("doc_id <> component_id").select(F.col("doc_id").alias(dropped)).distinct(), "dropped")
+    kept = bounded_join(docs, drop, F.col("doc_id") == F.col(dropped), "left_anti")
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     row = F.struct(F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.xxhash64(*docs.columns))
-    one = kept.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("of"), row.alias("least")).groupBy("of").agg(F.min("least").alias("least"))
-    same = kept.where("doc_id IS NOT NULL").join(one, (F.col("doc_id") == F.col("of")) & (row == F.col("least")), "left_semi")
+    one = kept.where("doc_id IS NOT NULL").select(F.col("doc_id").alias(of), row.alias(least)).groupBy(of).agg(F.min(least).alias(least))
+    same = kept.where("doc_id IS NOT NULL").join(one, (F.col("doc_id") == F.col(of)) & (row == F.col(least)), "left_semi")
     return same.dropDuplicates(["doc_id"]).union(kept.where("doc_id IS NULL"))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from intervale.llm.common import pieces_of, trim
+from intervale.llm.common import pieces_of, small_batches, trim
 
 META = "▁"
 #: Distinct chunks a Python worker keeps encoded in each of its two generations.
@@ -272,13 +272,14 @@ def encode_texts(docs: DataFrame, model: str | None = None, text: str = "text",
     if ids == text:
         raise ValueError("the ids need a column of their own")
     docs = docs.drop(ids)
+    small_batches(docs.sparkSession)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = load(path, "ids")
         m.keep = CACHE // 3  # these workers also hold the ids themselves
         for b in batches:
-            for i, j in pieces_of([len(t.as_py() or "") for t in b.column(at)], 2 << 20):
+            for i, j in pieces_of([len(t.as_py() or "") for t in b.column(at)], 1 << 20):
                 part = b.slice(i, j - i)
                 packed = [m.packed(t.as_py() or "") for t in part.column(at)]
                 ends = np.cumsum([0, *(len(x) // 4 for x in packed)]).astype(np.int32)

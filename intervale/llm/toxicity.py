@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from intervale.llm.common import fold, pieces_of, trim
+from intervale.llm.common import fold, free_name, pieces_of, small_batches, trim
 
 #: Words of a window and words between starts of windows.
 STRIDE = 16
@@ -29,7 +29,9 @@ PASSES, RATE = 10, 0.01
 #: Slots of a table that finds vocabulary words by hash.
 SLOTS = 1 << 15
 #: Bytes of text worked on at a time.
-PIECE = 1 << 20
+PIECE = 1 << 19
+#: Decimals of a score; the sums behind it depend in the last bits on what else is worked on at a time.
+DECIMALS = 5
 _U = np.uint64
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.int64).astype(_U) * _U(2) + _U(1)
@@ -55,7 +57,7 @@ def words_of(texts: list[bytes]) -> Words:
     inside = _IN_WORD[buf]
     starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
     if not len(starts):
-        return Words(*(np.empty(0, t) for t in (np.int64, _U, np.int64, np.int64)))
+        return Words(*(np.empty(0, t) for t in (np.int64, _U, np.uint16, np.int64)))
     ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
     size = ends - starts
     at = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -66,7 +68,7 @@ def words_of(texts: list[bytes]) -> Words:
     t = (plain[byte - 1] * np.uint32(0x9E3779B1) + plain[byte]) * np.uint32(0x85EBCA77) + plain[byte + 1] * np.uint32(0xC2B2AE3D)
     tri = (t ^ t >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(20)
     doc = np.searchsorted(np.cumsum([1, *(len(x) + 1 for x in texts)]), starts, "right") - 1
-    return Words(doc, h, tri.astype(np.int64), at)
+    return Words(doc, h, tri.astype(np.uint16), at)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -174,7 +176,7 @@ class Network:
                     top = np.full(len(part), -np.inf)
                     np.maximum.at(top, doc, logit)
                     for k in np.flatnonzero(np.isfinite(top)):
-                        p = float(1 / (1 + np.exp(-top[k])))
+                        p = round(float(1 / (1 + np.exp(-top[k]))), DECIMALS)
                         out[of[k]] = p if out[of[k]] == self.base else max(p, out[of[k]])
         return out
 
@@ -336,13 +338,17 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> tuple[li
     size = LONGEST // PARTS
     step = (F.length("text") - size) / (PARTS - 1)
     parts = F.concat_ws("\n", *(F.col("text").substr((step * k).cast("int") + 1, F.lit(size)) for k in range(PARTS)))
-    d = d.select(F.when(F.length("text") <= LONGEST, F.col("text")).otherwise(parts).alias("text"), "label")
-    rows = [(t, y) for t, y in d.limit(2 * (POSITIVES + NEGATIVES)).collect()]
+    d = d.select("doc_id", F.when(F.length("text") <= LONGEST, F.col("text")).otherwise(parts).alias("text"), "label")
+    d = d.groupBy("doc_id").agg(F.min(F.struct(F.md5(F.col("text").cast("binary")), "text", "label")).alias("x"))  # of a repeated id the same one in every run
+    rows = [(t, y) for t, y in d.select("x.text", "x.label").collect()]
     return rows, counts.get(1, 0) / max(1, sum(counts.values()))
 
 
 def scored(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text in a new column ``name``, which must not be among its columns. Narrow; null texts count as empty."""
+    if free_name(name, docs.columns) != name:
+        raise ValueError(f"there is a column {name}")
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     at = docs.columns.index("text")
 
@@ -362,7 +368,7 @@ def scored(docs: DataFrame, net: Network, name: str = "score") -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each document: doc_id, held_out, score, predicted. Ids may be null or repeat; other columns are not read;
-    an empty table gives an empty result."""
+    of a labelled id that repeats, the text with the smallest digest is learnt from; an empty table gives an empty result."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     net = train(*sample(docs, labels))
     out = scored(docs, net).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score")

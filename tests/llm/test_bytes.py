@@ -268,3 +268,33 @@ def test_pipeline(spark):
     some = out.limit(5).collect()
     assert some and all(r.n_tokens == len(r.ids) for r in some)
     assert all(sp.decode(list(r.ids)) == rows[r.doc_id] for r in some if "[secret]" not in sp.decode(list(r.ids)))
+
+
+ROWS = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, None, None, "a", None), (3, "a fine day at the sea " * 3, "en", None, 66), (3, "a fine day at the sea " * 3, "en", None, 66), (4, "token=abcdefgh12 " + "w " * 30_000, "en", "b", 7), (None, "no id", "en", "b", 5)]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_pipeline_stages_on_awkward_rows(spark, name, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns, empty tables, no labels: each stage ends with the stated rows."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    spark.createDataFrame([(9, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    d = spark.createDataFrame([(*r, "x", "y", 0.5, "z") for r in ROWS], "doc_id long, text string, lang string, source string, n_chars long, dropped string, key string, toxic_score double, of string")
+    out = stage(spark, d, str(tmp_path))
+    rows = out.collect()
+    columns = ["doc_id", "source", "n_tokens", "ids"] if name == "encode" else list(corpus_pipeline.COLUMNS)
+    assert out.columns == columns and stage(spark, d.where("false"), str(tmp_path)).count() == 0
+    if name in ("toxicity", "secrets", "encode"):
+        assert len(rows) == len(ROWS)
+    if name == "near duplicates":
+        assert sorted(r.doc_id or 0 for r in rows) == [0, 0, 1, 2, 3, 4]
+    if name == "secrets":
+        assert {r.text[:10] for r in rows if r.doc_id == 4} == {"token=[sec"} or all("abcdefgh12" not in (r.text or "") for r in rows)
+        assert all((r.n_chars is None) == (r.text is None) for r in rows)
+    if name == "mix":
+        assert {r.doc_id for r in rows} <= {None, 3, 4} and all(r.text for r in rows)
+
+
+def test_keep_one_beside_any_column(spark):
+    d = spark.createDataFrame([(1, "a b c d e f g", "p", "q", "r"), (2, "a b c d e f g", "p", "q", "r"), (3, "other", "p", "q", "r"), (3, "other", "p", "q", "r")], "doc_id long, text string, dropped string, of string, least string")
+    got = jaccard.keep_one(d)
+    assert got.columns == d.columns and sorted(r.doc_id for r in got.collect()) == [1, 3]

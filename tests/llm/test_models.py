@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from intervale.llm import langid, lm, pitman_yor, toxicity
+from intervale.llm import common, langid, lm, pitman_yor, toxicity
 
 DATA = "/root/testdata/sf0.01"
 AWKWARD = [(None, "the of and", "en", "a"), (-5, None, None, None), (-6, "", "en", "a"), (-7, "123 !? \n", "en", "a"), (-7, "zzz " * 90_000, "en", "a"), (-8, "idiot scum moron", "en", "a"), (-9, "é", None, None)]
@@ -67,6 +67,51 @@ def test_toxicity(spark, docs, truth):
     assert {r.score for r in nothing} <= {0.0, 0.5} or all(0 <= r.score <= 1 for r in nothing)
 
 
+def test_toxic_texts_are_found(spark):
+    """A model that calls everything clean fails here: recall and false alarms on labelled texts that were not learnt from."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    truth = {r.doc_id: r.toxic for r in labels.select("doc_id", "toxic").where("toxic IS NOT NULL").collect()}
+    net = toxicity.train(*toxicity.sample(d, labels))
+    rows = [(r.doc_id, r.text or "") for r in d.join(labels.where("toxic IS NOT NULL"), "doc_id", "left_semi").collect() if held(r.doc_id, 5)]
+    score = net.score([t.encode() for _, t in rows])
+    bad = [s >= 0.5 for (i, _), s in zip(rows, score, strict=True) if truth[i] == 1]
+    good = [s >= 0.5 for (i, _), s in zip(rows, score, strict=True) if truth[i] == 0]
+    assert len(bad) > 40 and sum(bad) / len(bad) > 0.8 and sum(good) / len(good) < 0.02
+
+
+@pytest.mark.parametrize("size", [3_000, 700_000, 2_500_000])
+def test_score_is_the_same_among_others(size):
+    rng = np.random.default_rng(size)
+    text = " ".join(f"w{x}" for x in rng.integers(0, 5000, size // 5)).encode()
+    short = [b"a short text", b"", b"another one " * 50]
+    net = toxicity.Network(np.empty(0, np.uint64), 0.1)
+    assert net.score([text])[0] == net.score([*short, text, *short])[3]
+    m = langid.train([("aa bb " * 50, "x"), ("cc dd " * 50, "y")] * 10)
+    text = b"aa bb w cc " * (size // 10)
+    assert (m.logits([text])[0] == m.logits([*short, text, *short])[3]).all()
+    assert common.pieces_of([10, 50_000_000, 3], 1 << 20) is not None and list(common.pieces_of([10, 50_000_000, 3], 1 << 20)) == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_language_gradients_and_forward_pass():
+    """The table of a model trained on separable texts gives what its embedding and softmax give, step by step."""
+    m = langid.train([("aa bb " * 50, "x"), ("cc dd " * 50, "y")] * 10)
+    text = b"aa dd bb"
+    pad = b" " * max(langid.LENGTHS)
+    buckets = np.concatenate(list(langid.grams(np.frombuffer(b" " + text + pad + b" ", np.uint8))))
+    buckets = buckets[buckets < langid.BUCKETS]
+    want = sum(m.table[b, :-1] for b in buckets) / len(buckets) + m.bias
+    assert m.logits([text])[0] == pytest.approx(want)
+
+
+def test_long_training_texts_give_pieces(spark):
+    ids = [i for i in range(60) if not held(i, 5)]
+    d = spark.createDataFrame([(i, f"first{i} " + "wort " * 9000 + "last", "de") for i in ids] + [(None, "x", None), (1, None, "de")], "doc_id long, text string, lang string")
+    rows = langid.sample(d)
+    assert len(rows) == len(ids) and all(len(t) <= langid.LONGEST + langid.PARTS and t.startswith("first") and t.endswith("last") for t, _ in rows)
+    assert rows == langid.sample(d.repartition(3)) and langid.sample(d.where("false")) == []
+
+
 def test_gradients():
     rng = np.random.default_rng(1)
     net = toxicity.Network(np.empty(0, np.uint64), 0.1)

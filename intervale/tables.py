@@ -14,9 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one is set only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset a temporary one is set if driver and
+    executors are one process; on a cluster it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="intervale-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -26,9 +29,19 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     The lineage is cut by files every executor can read, so a lost executor costs no earlier stage, and later readers
-    prune columns of what was computed once.
+    prune columns of what was computed once. ``drop_staged`` deletes what is no longer read.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def drop_staged(*frames: DataFrame) -> None:
+    """Delete the files behind frames that ``staged`` gave; nothing may read them, or what was made of them, afterwards."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

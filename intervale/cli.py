@@ -6,7 +6,9 @@ import argparse
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from intervale.functions.scalars import parse_regions
 from intervale.plans import search as plans
 from intervale.plans.index import IntervalIndex, build_index
 from intervale.schema import GENOME_SIZE
@@ -49,7 +51,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
         for r in index.files().toLocalIterator():
             print(r["file_name"], r["num_intervals"], r["mean_interval_size"], sep="\t", file=out)
         return 0
-    queries = a.region or read_intervals(spark, a.query).intervals.select("chrom", "start", "end", "line")
+    if a.query:  # a query file's lines are told apart and ordered by file and line
+        queries = read_intervals(spark, a.query).intervals.select("chrom", "start", "end", F.struct("file_name", "row_ord").alias("ord"), "line")
+    elif a.mode == "grouped":
+        regions = [(r.chrom, r.start, r.end, i, f"{r.chrom}:{r.start}-{r.end}") for i, r in enumerate(parse_regions(a.region))]
+        queries = spark.createDataFrame(regions, "chrom string, start bigint, end bigint, ord int, line string")
+    else:
+        queries = a.region
     s = plans.Search(index, queries, a.where, a.files.split(",") if a.files else None)
     if a.mode == "counts":
         lines = plans.count_text(s.counts())
@@ -58,7 +66,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
     elif a.mode == "records":
         lines = (f"{line}\t{name}" for line, name in s.iterate())
     else:
-        lines = (f"##{r[0]}\n{r[1]}\t{r[2]}" for r in s.grouped("line" if a.query else "start").toLocalIterator())
+        lines = plans.grouped_text(s.grouped("ord", "line"))
+    if a.where:
+        r = s.removed().first()
+        print(f"{r['removed']} of {r['hits']} hits removed", file=sys.stderr)
     for line in lines:
         print(line, file=out)
     return 0

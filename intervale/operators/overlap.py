@@ -18,6 +18,8 @@ LEVELS = (12, 15, 18, 21, 24, 27, 32, 62)
 #: Queries longer than this are wide; they use ranges of as many positions.
 WIDE_BITS = 22
 WIDE = 1 << WIDE_BITS
+#: Intervals of the highest levels, in all, that are broadcast to the queries instead of being met in bins.
+FEW = 2048
 #: Regions up to which a query set is a filter.
 MOST_LITERALS = 100
 #: Positions of one sweep range of ``rank``.
@@ -30,9 +32,26 @@ def bin_columns(df: DataFrame, start: str = "start", end: str = "end") -> DataFr
     return df.withColumn("level", level).withColumn("bin", F.expr(f"shiftright(`{start}`, CAST(level AS INT))"))
 
 
-def _query_bins(start: str, end: str) -> Column:
+def corpus_levels(corpus: DataFrame) -> dict[int, int]:
+    """How many intervals lie in each level: a row a level. A saved index has the level as a column of its own."""
+    rows = corpus if "level" in corpus.columns else bin_columns(corpus)
+    return {r[0]: r[1] for r in rows.groupBy("level").count().collect()}
+
+
+def split_levels(counts: dict[int, int], few: int = FEW) -> tuple[list[int], list[int]]:
+    """(levels met in bins, levels broadcast): from the highest down, those that hold ``few`` intervals together."""
+    sparse, total = [], 0
+    for k in sorted(counts, reverse=True):
+        if total + counts[k] > few:
+            break
+        sparse.append(k)
+        total += counts[k]
+    return [k for k in sorted(counts) if k not in sparse], sparse
+
+
+def _query_bins(start: str, end: str, levels: list[int]) -> Column:
     """Every (level, bin) that intervals overlapping the query may lie in."""
-    parts = [f"transform(sequence(shiftright(`{start}`, {k}), shiftright(`{end}`, {k})), b -> struct({k} AS level, b AS bin))" for k in LEVELS]
+    parts = [f"transform(sequence(shiftright(`{start}`, {k}), shiftright(`{end}`, {k})), b -> struct({k} AS level, b AS bin))" for k in levels]
     return F.expr(f"CASE WHEN `{start}` <= `{end}` THEN concat({', '.join(parts)}) ELSE array() END")
 
 
@@ -40,24 +59,37 @@ def _renamed(queries: DataFrame) -> DataFrame:
     return queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns))
 
 
-def overlap_binned(queries: DataFrame, corpus: DataFrame, wide: bool | None = None) -> DataFrame:
+def overlap_binned(queries: DataFrame, corpus: DataFrame, wide: bool | None = None, levels: dict[int, int] | None = None) -> DataFrame:
     """Pairs, as the query's columns with the prefix ``q_`` and the corpus's columns.
 
     A corpus interval has one bin, a query meets it in that bin alone, so the equi-join on (chrom, level, bin) needs no
     removal of doubles. Both sides are dealt by bin, of which there are as many as the data is long; those that stand
     out are split at run time. Queries longer than WIDE would lie in very many bins: they meet what covers their start
     through its bins, and what starts further inside through coarse ranges of starts. ``wide``: whether there are such queries;
-    None looks.
+    None looks. ``levels``: intervals by level; None looks. Queries are dealt over the levels that have intervals, and the
+    highest ones, where all queries would share a bin or two to meet next to nothing, are at most FEW rows that are broadcast.
     """
     c = corpus if {"level", "bin"} <= set(corpus.columns) else bin_columns(corpus)
     q = _renamed(queries)
+    names = [*q.columns, *(x for x in corpus.columns if x not in ("level", "bin"))]
+    dense, sparse = split_levels(corpus_levels(c) if levels is None else levels)
+    out = []
+    if sparse or not dense:
+        top = F.broadcast(c.where(F.col("level").isin(sparse)))
+        out.append(q.join(top, (q["q_chrom"] == top["chrom"]) & (top["start"] <= q["q_end"]) & (top["end"] >= q["q_start"]) & (q["q_start"] <= q["q_end"]) & (top["start"] <= top["end"])).select(*names))
+    if dense:
+        out.append(_met_in_bins(q, c.where(F.col("level").isin(dense)) if sparse else c, wide, dense, names))
+    return reduce(DataFrame.union, out)
+
+
+def _met_in_bins(q: DataFrame, c: DataFrame, wide: bool | None, levels: list[int], names: list[str]) -> DataFrame:
+    """Pairs with the intervals of ``levels`` by an equi-join on bins."""
     if wide is None:
-        wide = not queries.where(F.col("end") - F.col("start") > WIDE).isEmpty()
+        wide = not q.where(F.col("q_end") - F.col("q_start") > WIDE).isEmpty()
     long = F.col("q_end") - F.col("q_start") > WIDE
     probe = q.withColumn("q_to", F.when(long, F.col("q_start")).otherwise(F.col("q_end"))) if wide else q.withColumn("q_to", F.col("q_end"))
-    probe = probe.withColumn("q_at", F.explode(_query_bins("q_start", "q_to")))
+    probe = probe.withColumn("q_at", F.explode(_query_bins("q_start", "q_to", levels)))
     meets = (probe["q_chrom"] == c["chrom"]) & (probe["q_at.level"] == c["level"]) & (probe["q_at.bin"] == c["bin"])
-    names = [*q.columns, *(x for x in corpus.columns if x not in ("level", "bin"))]
     both = probe.join(c, meets & (c["start"] <= probe["q_to"]) & (c["end"] >= probe["q_start"])).select(*names)
     if not wide:
         return both
@@ -89,14 +121,14 @@ def overlap_literal(regions: list[Region], corpus: DataFrame) -> DataFrame:
     return rows.withColumn("q", F.explode(met)).select(F.col("q.chrom").alias("q_chrom"), F.col("q.start").alias("q_start"), F.col("q.end").alias("q_end"), *c.columns)
 
 
-def overlap(queries: DataFrame | list[Region], corpus: DataFrame, strategy: str | None = None) -> DataFrame:
+def overlap(queries: DataFrame | list[Region], corpus: DataFrame, strategy: str | None = None, levels: dict[int, int] | None = None) -> DataFrame:
     """Pairs by the named strategy; without one, ``literal`` for up to MOST_LITERALS regions and ``binned`` for the rest."""
     if isinstance(queries, list):
         if strategy in (None, "literal") and len(queries) <= MOST_LITERALS:
             return overlap_literal(queries, corpus)
         spark = corpus.sparkSession
         queries = spark.createDataFrame([(r.chrom, r.start, r.end) for r in queries], "chrom string, start bigint, end bigint")
-    return {None: overlap_binned, "binned": overlap_binned, "naive": overlap_naive}[strategy](queries, corpus)
+    return overlap_naive(queries, corpus) if strategy == "naive" else overlap_binned(queries, corpus, levels=levels)
 
 
 def count_rank(queries: DataFrame, corpus: DataFrame, by: list[str], bits: int = RANGE_BITS) -> DataFrame:
@@ -124,7 +156,7 @@ def count_rank(queries: DataFrame, corpus: DataFrame, by: list[str], bits: int =
     parts = parts.select("chrom", "part", (F.sum("s").over(before) - F.col("s")).alias("s0"), (F.sum("e").over(before) - F.col("e")).alias("e0"))
     within = Window.partitionBy("chrom", "part").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns({"cs": F.sum("s").over(within), "ce": F.sum("e").over(within)}).where("kind = 1")
-    rows = rows.join(parts, ["chrom", "part"])
+    rows = rows.join(F.broadcast(parts), ["chrom", "part"])  # no more rows than the genome's length over 2**bits
     hits = F.when(F.col("sign") == 1, F.col("cs") + F.col("s0")).otherwise(-(F.col("ce") + F.col("e0")))
     return rows.groupBy(*by).agg(F.sum(hits * F.col("times")).alias("overlaps")).where("overlaps > 0")
 

@@ -37,7 +37,7 @@ class Search:
     def _corpus(self, *columns: str) -> DataFrame:
         c = self.index.intervals if self.where is None else self.index.intervals.where(self.where)
         if self.limited:
-            c = c.join(F.broadcast(self.file_rows.select("file_id")), "file_id", "left_semi")
+            c = c.join(self.index.small(self.file_rows.select("file_id")), "file_id", "left_semi")
         return c.select("chrom", "start", "end", "level", "bin", "file_id", *columns)
 
     def _query_rows(self) -> DataFrame:
@@ -47,7 +47,25 @@ class Search:
 
     def hits(self, *columns: str) -> DataFrame:
         """A row for each pair of a query and an interval it meets, as a bag."""
-        return overlap(self.queries, self._corpus(*columns), self.strategy if self.strategy != "rank" else None)
+        literal = isinstance(self.queries, list) and len(self.queries) <= MOST_LITERALS
+        levels = None if literal or self.strategy == "naive" else self.index.levels()
+        return overlap(self.queries, self._corpus(*columns), self.strategy if self.strategy != "rank" else None, levels)
+
+    def removed(self) -> DataFrame:
+        """One row (hits, kept, removed): what the metadata predicate left of all hits."""
+        count = lambda s: s.counts().agg(F.coalesce(F.sum("overlaps"), F.lit(0)).alias("n"))
+        every = Search(self.index, self.queries, None, None, self.strategy)
+        every.file_rows, every.limited = self.file_rows, self.limited
+        both = count(every).select(F.col("n").alias("hits")).join(F.broadcast(count(self).select(F.col("n").alias("kept"))))  # one row each
+        return both.select("hits", "kept", (F.col("hits") - F.col("kept")).alias("removed"))
+
+    def first(self, n: int) -> DataFrame:
+        """The first n records, in the files' and lines' order."""
+        return self.records().limit(n)
+
+    def __getitem__(self, file_id: int) -> Iterator[str]:
+        """Lines of the hits in one file, as bindings index their results."""
+        return (r["line"] for r in self.hits("line", "row_ord").where(F.col("file_id") == file_id).orderBy("row_ord").select("line").toLocalIterator())
 
     def total(self) -> int:
         """Number of hits."""
@@ -65,7 +83,7 @@ class Search:
     def records(self, payload: bool = False) -> DataFrame:
         """line, file_name (and payload) of each hit, in the files' and lines' order."""
         extra = ["payload"] if payload else []
-        named = self.hits("line", "row_ord", *extra).join(F.broadcast(self.file_rows.select("file_id", "file_name")), "file_id")
+        named = self.hits("line", "row_ord", *extra).join(self.index.small(self.file_rows.select("file_id", "file_name")), "file_id")
         return named.orderBy("file_id", "row_ord").select("line", "file_name", *extra)
 
     def iterate(self) -> Iterator[tuple[str, str]]:
@@ -73,10 +91,12 @@ class Search:
         for row in self.records().toLocalIterator():
             yield row["line"], row["file_name"]
 
-    def grouped(self, key: str = "qid") -> DataFrame:
-        """(query, file_name, overlaps) for each query with hits."""
-        n = self.hits().groupBy(f"q_{key}", "file_id").agg(F.count("*").alias("overlaps"))
-        return n.join(F.broadcast(self.file_rows.select("file_id", "file_name")), "file_id").select(F.col(f"q_{key}").alias(key), "file_name", "overlaps")
+    def grouped(self, *keys: str) -> DataFrame:
+        """(``keys``..., file_id, file_name, overlaps) for each query with hits; ``keys``: columns that tell the queries apart, by
+        default ``qid``."""
+        keys = keys or ("qid",)
+        n = self.hits().groupBy(*(F.col(f"q_{k}").alias(k) for k in keys), "file_id").agg(F.count("*").alias("overlaps"))
+        return n.join(self.index.small(self.file_rows.select("file_id", "file_name")), "file_id").select(*keys, "file_id", "file_name", "overlaps")
 
     def nonempty(self) -> DataFrame:
         return self.counts().where("overlaps > 0")
@@ -89,10 +109,10 @@ class Search:
 def all_against_all(query_sets: DataFrame, index: IntervalIndex, genome_size: float = GENOME_SIZE) -> DataFrame:
     """One job for many query files: rows (query_file, chrom, start, end) give a significance report with a column query_file."""
     q = query_sets.select("query_file", normalize_chrom(F.col("chrom")).alias("chrom"), "start", "end")
-    pairs = overlap(q, index.intervals.select("chrom", "start", "end", "level", "bin", "file_id"))
+    pairs = overlap(q, index.intervals.select("chrom", "start", "end", "level", "bin", "file_id"), levels=index.levels())
     n = pairs.groupBy("q_query_file", "file_id").agg(F.count("*").alias("overlaps"))
     sets = q.groupBy("query_file").agg(F.count("*").alias("q_n"), F.avg(F.col("end") - F.col("start")).alias("q_mean"))
-    grid = sets.join(F.broadcast(index.files()))  # a row for each query file and indexed file: the result's own shape
+    grid = sets.join(index.small(index.files()))  # a row for each query file and indexed file: the result's own shape
     t = grid.join(n.withColumnRenamed("file_id", "_f"), (F.col("query_file") == F.col("q_query_file")) & (F.col("file_id") == F.col("_f")), "left")
     t = t.withColumn("overlaps", F.coalesce("overlaps", F.lit(0)).cast("long"))
     return table_of(t, genome_size)
@@ -114,6 +134,16 @@ def count_text(counts: DataFrame) -> Iterator[str]:
         yield f"#{r['file_name']}\tsize:{r['num_intervals']}\toverlaps:{r['overlaps']}"
 
 
+def grouped_text(grouped: DataFrame, order: str = "ord", line: str = "line") -> Iterator[str]:
+    """One header for each query with hits, in the queries' order, with the files it meets below it."""
+    last = None
+    for r in grouped.orderBy(order, "file_id").toLocalIterator():
+        if r[order] != last:
+            last = r[order]
+            yield f"##{r[line]}"
+        yield f"{r['file_name']}\t{r['overlaps']}"
+
+
 def significance_text(report: DataFrame) -> Iterator[str]:
     yield "#" + "\t".join(("file", *enrich.REPORT[1:]))
     for r in report.toLocalIterator():

@@ -403,7 +403,14 @@ def point_intervals(spark, d):
 def genome_file(spark, d):
     from intervale.sources.readers import genome_size
 
-    g = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("chrom"), (F.col("n_nationkey") * 1000 + 1).cast("long").alias("length"))
+    import uuid
+
+    from intervale.sources.readers import read_genome
+    from intervale.tables import shared_dir
+
+    path = f"{shared_dir(spark)}/genome-{uuid.uuid4().hex}"
+    table(spark, d, "nation").select(F.concat_ws("\t", F.col("n_nationkey").cast("string"), (F.col("n_nationkey") * 1000 + 1).cast("string")).alias("value")).write.text(path)
+    g = read_genome(spark, path)
     return g.withColumn("genome_size", F.lit(genome_size(g)).cast("long"))
 
 
@@ -479,13 +486,19 @@ def index_search_records(spark, d):
     return r.select("file_name", F.element_at(F.split("line", "\t"), -1).cast("long").alias("id"))
 
 
-@_add("random_overlaps", None)
+@_add("random_overlaps", _with(FEATURES) + """, names AS (SELECT list_sort(list(CAST(i AS VARCHAR))) n FROM range(1, 23) t(i)),
+    w AS (SELECT ('0x' || md5('1:' || i)[1:13])::BIGINT % (22 * (2000000 - 500)) a FROM range(2000) t(i)),
+    q AS (SELECT n[a // (2000000 - 500) + 1] chrom, a % (2000000 - 500) s FROM w, names)
+    SELECT fname, count(*) AS overlaps FROM q JOIN features i ON q.chrom = i.chrom AND i.s <= q.s + 500 AND i.e >= q.s GROUP BY fname""")
 def random_overlaps(spark, d):
     genome = spark.createDataFrame([(str(i + 1), 2_000_000) for i in range(22)], "chrom string, length bigint")
     q = recipes.random_intervals(spark, 2000, 500, genome)
     return overlap.count_rank(q, _intervals(spark, d), ["fname"])
 
 
+from intervale import file_queries as _  # noqa: E402, F401  registers its own
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in REGISTRY.items()}
 

@@ -41,9 +41,18 @@ def _uri(path: Column) -> Column:
 
 
 def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """file_name, line, row_ord: positions grow along each file, also where a plain file is read in several splits."""
+    """file_name, line, row_ord: the line's number in its file from 0, whichever splits the file is read in.
+
+    Lines are numbered within their split by the scan; a first pass counts the lines of each split, and the sums before it, a row a
+    split (at 128 MB, 800 thousand rows for 100 TB), are broadcast.
+    """
     text = spark.read.text(paths)
-    return text.select(_uri(F.col("_metadata.file_path")).alias("file_name"), F.col("value").alias("line"), (F.col("_metadata.file_block_start") * (1 << 20) + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 33))).alias("row_ord"))
+    rows = text.select(_uri(F.col("_metadata.file_path")).alias("file_name"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"), F.monotonically_increasing_id().alias("place"))
+    splits = rows.groupBy(F.col("file_name").alias("s_file"), F.col("block").alias("s_block")).agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("s_file").orderBy("s_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    shift = splits.select("s_file", "s_block", (F.sum("n").over(before) - F.col("n") - F.col("first")).alias("shift"))
+    rows = rows.join(F.broadcast(shift), (F.col("file_name") == F.col("s_file")) & (F.col("block") == F.col("s_block")))
+    return rows.select("file_name", "line", (F.col("place") + F.col("shift")).alias("row_ord"))
 
 
 def _bed(lines: DataFrame) -> DataFrame:
@@ -98,20 +107,23 @@ def read_matrix_definition(spark: SparkSession, path: str) -> tuple[DataFrame, D
     return files, labels
 
 
-def pick_columns(names: list[str], candidates: dict[str, list[str]]) -> dict[str, str]:
-    """For each wanted column the first of its candidate names that a table has; a missing one is an error."""
+def pick_columns(names: list[str], families: list[dict[str, str]]) -> dict[str, str]:
+    """The columns of the first family of names that a table has all of; start and end are never of two families. None is an
+    error."""
     have = {n.lower(): n for n in names}
-    out = {}
-    for wanted, options in candidates.items():
-        found = next((have[o.lower()] for o in options if o.lower() in have), None)
-        if found is None:
-            raise ValueError(f"no column for {wanted} among {names}")
-        out[wanted] = found
-    return out
+    for family in families:
+        if all(name.lower() in have for name in family.values()):
+            return {wanted: have[name.lower()] for wanted, name in family.items()}
+    raise ValueError(f"no columns for an interval among {names}")
 
 
-#: Names under which published track tables keep chromosome, start and end.
-TRACK_COLUMNS = {"chrom": ["chrom", "tName", "genoName"], "start": ["chromStart", "txStart", "tStart", "genoStart"], "end": ["chromEnd", "txEnd", "tEnd", "genoEnd"]}
+#: Names under which published track tables keep chromosome, start and end, in order of preference.
+TRACK_COLUMNS = [
+    {"chrom": "chrom", "start": "chromStart", "end": "chromEnd"},
+    {"chrom": "chrom", "start": "txStart", "end": "txEnd"},
+    {"chrom": "tName", "start": "tStart", "end": "tEnd"},
+    {"chrom": "genoName", "start": "genoStart", "end": "genoEnd"},
+]
 
 
 def columns_of_ddl(ddl: str) -> list[str]:
@@ -125,15 +137,32 @@ def columns_of_ddl(ddl: str) -> list[str]:
 
 
 def write_bed(df: DataFrame, path: str, by: list[str] | None = None) -> None:
-    """Sorted tab-separated text, compressed; with ``by``, a folder for each value, as a split writer."""
+    """Sorted tab-separated text, compressed; with ``by``, a folder for each value, as a split writer, written by as many tasks as
+    the value has chromosomes."""
     order = [*(by or []), "chrom", "start", "end"]
-    rows = df.repartition(*by) if by else df.repartitionByRange("chrom", "start", "end")
+    rows = df.repartition(*by, "chrom") if by else df.repartitionByRange("chrom", "start", "end")
     rows = rows.sortWithinPartitions(*order)
     text = F.concat_ws("\t", "chrom", F.col("start").cast("string"), F.col("end").cast("string"))
     out = rows.select(*(by or []), text.alias("value")).write.option("compression", "gzip")
     (out.partitionBy(*by) if by else out).text(path)
 
 
+def write_named(lines: DataFrame, folder: str, suffix: str, name: str = "file_name", line: str = "line", order: list[str] | None = None) -> None:
+    """One gzipped text file ``<name><suffix>`` below ``folder`` for each value of ``name``, its lines in ``order``: as the indexer
+    reads them. A file is one task's, so this is for files of a size that one task writes."""
+    spark = lines.sparkSession
+    parts = lines.repartition(name).sortWithinPartitions(name, *(order or [])).select(F.col(name).alias("name"), F.col(line).alias("value"))
+    parts.write.partitionBy("name").option("compression", "gzip").text(f"{folder}/_parts")
+    root = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_parts")
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for d in fs.listStatus(root):
+        if d.isDirectory():
+            value = d.getPath().getName().split("=", 1)[1]
+            (part,) = [x.getPath() for x in fs.listStatus(d.getPath()) if x.getPath().getName().startswith("part-")]
+            fs.rename(part, spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{value}{suffix}"))
+    fs.delete(root, True)
+
+
 def ordered_ids(names: DataFrame) -> DataFrame:
     """file_name with file_id, dense from 0 in order of the names. One row a file, so the window without a key is small."""
     return names.select("file_name").distinct().withColumn("file_id", (F.row_number().over(Window.orderBy("file_name")) - 1).cast("long"))

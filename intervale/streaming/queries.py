@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from intervale.functions.scalars import normalize_chrom
-from intervale.operators.overlap import overlap_binned
+from intervale.operators.overlap import LEVELS, overlap_binned
 
 
 def stream_overlap(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Pairs of each micro-batch; wide queries are allowed for, since a stream can't be looked at beforehand."""
+    """Pairs of each micro-batch; wide queries and all levels are allowed for, since a stream can't be looked at beforehand and the
+    corpus may have grown when a batch runs."""
     q = queries.withColumn("chrom", normalize_chrom(F.col("chrom")))
-    return overlap_binned(q, corpus, wide=True)
+    return overlap_binned(q, corpus, wide=True, levels=dict.fromkeys(LEVELS, 1 << 62))
 
 
 def stream_counts(queries: DataFrame, corpus: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

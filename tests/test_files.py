@@ -122,3 +122,34 @@ def test_stream(spark, folder, tmp_path):
     run.awaitTermination(120)
     got = {r.file_id: r.overlaps for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {0: 4, 1: 1}
+
+
+def test_grouped_report_and_append(spark, folder, tmp_path):
+    """One header a query line in the queries' order, equal lines apart; an appended file's ids follow those of the index."""
+    (tmp_path / "q.bed").write_text("1\t15\t18\n2\t1\t2\n1\t15\t18\n1\t100\t110\n")
+    build_index(spark, f"{folder}/a.bed.gz", str(tmp_path / "i"))
+    build_index(spark, f"{folder}/b.bed.gz").append(str(tmp_path / "i"))
+    index = IntervalIndex.load(spark, str(tmp_path / "i"))
+    assert sorted((r.file_id, r.row_ord, r.interval_id) for r in index.intervals.collect()) == [(0, 2, 2), (0, 3, 3), (1, 0, 1 << 40)]
+    out = io.StringIO()
+    cli.main(["search", "-i", str(tmp_path / "i"), "--mode", "grouped", "-q", str(tmp_path / "q.bed")], spark, out)
+    lines = [x.rsplit("/", 1)[-1] for x in out.getvalue().splitlines()]
+    assert lines == ["##1\t15\t18", "a.bed.gz\t2", "##1\t15\t18", "a.bed.gz\t2", "##1\t100\t110", "b.bed.gz\t1"]
+    out = io.StringIO()
+    cli.main(["search", "-i", str(tmp_path / "i"), "--mode", "grouped", "-r", "1:100-110,1:15-18"], spark, out)
+    assert [x for x in out.getvalue().splitlines() if x.startswith("##")] == ["##1:100-110", "##1:15-18"]
+    with pytest.raises(ValueError):
+        build_index(spark, f"{folder}/b.bed.gz", conf=M.parse_conf("4 x int_8")).append(str(tmp_path / "i"))
+
+
+def test_line_numbers_do_not_hang_on_splits(spark, tmp_path):
+    (tmp_path / "long.bed").write_text("".join(f"1\t{i}\t{i + 5}\t{'x' * (i % 90)}\n" for i in range(20_000)))
+    (tmp_path / "other.bed").write_text("".join(f"2\t{i}\t{i + 5}\n" for i in range(500)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("50000", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = R.read_intervals(spark, f"{tmp_path}/*.bed").intervals
+            assert rows.where("start <> row_ord").isEmpty() and rows.count() == 20_500
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

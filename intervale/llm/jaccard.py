@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from intervale.llm.common import BROADCAST_ROWS, bounded_join, free_name, small_batches, staged, trim
@@ -99,23 +99,37 @@ def part_keys(h: np.ndarray) -> np.ndarray:
     In each band that similar sets may share with it, a set's tokens are dealt to parts by hash and xored there. Two sets
     that differ in d tokens differ in at most d parts. If one of them has tokens in more than d parts, an equal part with
     tokens remains and its key is shared; sets with fewer such parts also give keys for all parts, empty ones too, in a
-    space of their own, where two of them share one.
+    space of their own, where two of them share one. A key's low byte names its band and space.
+    """
+    return _part_keys(h)[0]
+
+
+def _part_keys(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, spare): what ``part_keys`` gives, and for each of the set's at most four bands and spaces (by a key's low two bits)
+    how many of its keys there it can do without.
+
+    A set with keys for e parts shares at least e - d with each similar one, if these differ in at most d tokens. So let keys
+    have any order that is the same for all sets: if each set leaves out its last e - d - 1, the first key that two
+    similar ones share has e - d - 1 others behind it in both and stays.
     """
     n = len(h)
     most = n * 100 // PERCENT
-    out = []
+    out, spare = [], np.zeros(4, np.int64)
     for band in range(bisect_right(BANDS, n) - 1, bisect_right(BANDS, most)):
-        p = parts(band)
+        p, d = parts(band), differ(n, min(most, BANDS[band + 1] - 1))
+        code = 2 * band + 2
         at = ((h >> _U(32)) * _U(p) >> _U(32)).astype(np.int64)  # h is sorted, so a part's tokens lie together
         first = np.flatnonzero(np.diff(at, prepend=-1))
         value = np.bitwise_xor.reduceat(_mix(h ^ _U(0xA5A5A5A5)), first)
         tag = (at[first].astype(_U) * _U(2) + (_U(band + 1) << _U(44))) * _MULT[1]
-        out.append(_mix(value + tag))
-        if len(first) <= differ(n, min(most, BANDS[band + 1] - 1)):
+        out.append(_mix(value + tag) & ~_U(255) | _U(code))
+        spare[code & 3] = max(0, len(first) - d - 1)
+        if len(first) <= d:
             every = np.zeros(p, _U)
             every[at[first]] = value
-            out.append(_mix(every + (np.arange(p, dtype=_U) * _U(2) + _U(1) + (_U(band + 1) << _U(44))) * _MULT[1]))
-    return np.concatenate(out) if out else np.empty(0, _U)
+            out.append(_mix(every + (np.arange(p, dtype=_U) * _U(2) + _U(1) + (_U(band + 1) << _U(44))) * _MULT[1]) & ~_U(255) | _U(code + 1))
+            spare[code + 1 & 3] = p - d - 1
+    return np.concatenate(out) if out else np.empty(0, _U), spare
 
 
 def sketch(h: np.ndarray) -> np.ndarray:
@@ -180,7 +194,8 @@ MET = "key bigint, doc bigint, head bigint, sketch binary"
 
 
 def keyed(docs: DataFrame, rows: int = ROWS) -> DataFrame:
-    """(key, doc, head, null) of every part key of every text, and (null, doc, size of its set, sketch) once a text.
+    """(key, doc, head, null) of every part key of every text, and (null, doc, size of its set, its sketch and four numbers of
+    spare keys, two bytes each) once a text.
 
     Keys are pre-aggregated in the task, ``rows`` at a time: of documents that share one, the first stands for the others
     (its head is null) and goes on to meet those of other tasks; the others name it as their head and are done.
@@ -198,8 +213,8 @@ def keyed(docs: DataFrame, rows: int = ROWS) -> DataFrame:
             for doc, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 h = shingles(raw.as_py())
                 sizes.append(len(h))
-                sketches.append(sketch(h).tobytes())
-                k = part_keys(h) if len(h) else h
+                k, spare = _part_keys(h) if len(h) else (h, np.zeros(4, np.int64))
+                sketches.append(sketch(h).tobytes() + np.minimum(spare, 65535).astype(">u2").tobytes())
                 if len(k):
                     keys.append(k)
                     ids.append(np.full(len(k), doc, np.int64))
@@ -301,8 +316,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Equal texts are one class, known by their MD5 and represented by their smallest id. Representatives meet by part
     keys. What meets is verified until components stand still, never all pairs of a group: first each document with the
     nearest head it met, then the pairs in different components of keys with few documents, and of large keys those of other
-    documents with a few members of the largest component; in the end every pair that shares a large key and is
-    still in different components. No link between those is left out. Pairs that parity sketches rule out are not verified.
+    documents with a few members of the largest component; in the end every pair that is still in different components
+    and shares a large key that neither can do without (see ``_part_keys``; the largest go first, so a passage that very many
+    documents share brings no pairs as long as it fills no more parts than that). No link between those is left out. Pairs that parity sketches rule out are not verified.
 
     Null and empty texts have no shingles and are alone; rows with a null id have no component (null) and link nothing;
     rows that repeat an id share its component, each with its own size; other columns are not read; an empty table gives
@@ -326,7 +342,9 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     singles = bounded_join(docs.where("doc_id IS NOT NULL"), copies, F.col("doc_id") == F.col("copy"), "left_anti")
 
     met = staged(meetings(keyed(singles)), "meetings")
-    info = met.where("key IS NULL").select(F.col("doc").alias("id"), F.col("head").alias("size"), "sketch")
+    info = met.where("key IS NULL").select(
+        F.col("doc").alias("id"), F.col("head").alias("size"), F.expr("substring(sketch, 1, length(sketch) - 8)").alias("sketch"), F.expr("substring(sketch, length(sketch) - 7, 8)").alias("spare")
+    )
     keys = met.where("key IS NOT NULL").drop("sketch")
     heads = staged(_plausible(keys.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b")).distinct(), info), "heads")
     done = staged(_nearest(heads), "nearest")
@@ -351,7 +369,8 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     settle(staged(heads.union(_compared(keys, info, comp, mixed.where("n <= " + str(LARGE)))).union(_tried(keys, info, comp, mixed.where("n > " + str(LARGE)))), "across"))
     large = _mixed(keys, comp, LARGE)
     if not large.isEmpty():
-        settle(staged(_compared(keys, info, comp, large), "across"))
+        rarer = staged(_rarer(keys, info, large), "rarer")
+        settle(staged(_compared(rarer, info, comp, _mixed(rarer, comp)), "across"))
 
     sizes = met.where("key IS NULL").select(F.col("doc").alias("of"), F.col("head").alias("n_shingles"))
     rows = classed.join(sizes, F.col("rep") == F.col("of")).select("doc_id", "n_shingles", "rep")
@@ -399,27 +418,44 @@ def _plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def _mixed(keys: DataFrame, comp: DataFrame, more_than: int = 1) -> DataFrame:
-    """(mk, n, inside, blocks): keys with documents in several components, how many they have, the component that has most (or one of
-    the smallest documents', where the key is not large), and their blocks. Keys of a head and one other are known and left out."""
+    """(mk, n, inside, blocks, ins, outs): keys with documents in several components, how many they have, the component that has most
+    (or one of the smallest documents', where the key is not large), and the blocks of all, of that component and of the others. Keys of a head and one other are known and left out."""
     rows = _of(keys, "doc", comp, "c")
     by = rows.groupBy("key", "c").agg(F.count("*").alias("n"), F.max((F.col("doc") == F.col("head")).cast("int")).alias("h"))
     total = F.sum("n")
     out = by.groupBy(F.col("key").alias("mk")).agg(total.alias("n"), F.max("h").alias("h"), F.count("*").alias("kinds"), F.max(F.struct("n", "c")).alias("x"))
     out = out.where(f"kinds > 1 AND n - h > 1 AND n > {more_than}")
-    return staged(out.select("mk", "n", F.col("x.c").alias("inside"), F.expr(f"(n + {BLOCK - 1}) div {BLOCK}").alias("blocks")), "mixed")
+    blocks = (F.expr(f"({n} + {BLOCK - 1}) div {BLOCK}").alias(name) for n, name in (("n", "blocks"), ("x.n", "ins"), ("(n - x.n)", "outs")))
+    return staged(out.select("mk", "n", F.col("x.c").alias("inside"), *blocks), "mixed")
+
+
+def _rarer(keys: DataFrame, info: DataFrame, large: DataFrame) -> DataFrame:
+    """(key, doc, head) of the large keys, each document without the largest it can spare in a band. A document has no more rows
+    than parts."""
+    spare = F.conv(F.hex(F.expr("substring(spare, cast(1 + 2 * (key & 3) as int), 2)")), 16, 10).cast("int")
+    rows = bounded_join(keys, large.select("mk", "n"), F.col("key") == F.col("mk"), "inner").join(info.select("id", "spare"), F.col("doc") == F.col("id"))
+    place = F.row_number().over(Window.partitionBy("doc", F.expr("key & 255")).orderBy(F.desc("n"), F.desc("key")))
+    return rows.select("key", "doc", "head", spare.alias("spare"), place.alias("place")).where("place > spare").select("key", "doc", "head")
 
 
 def _groups(keys: DataFrame, info: DataFrame, comp: DataFrame, mixed: DataFrame, everywhere: bool) -> DataFrame:
-    """Rows (key, block, own, doc, c, large, size, sketch) of the mixed keys, a key's block together. Documents of its largest
-    component are in their own block; others, if ``everywhere``, in all of them, to meet those."""
-    rows = bounded_join(_of(keys, "doc", comp, "c"), mixed, F.col("key") == F.col("mk"), "inner")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("large", F.col("c") == F.col("inside"))
+    """Rows (key, block, side, doc, c, large, size, sketch) of the mixed keys, a key's block together. If ``everywhere``, each two
+    documents not both of its largest component meet in one block: a key of one block is that, with side 3; of larger ones
+    blocks of the others meet those of the component and one another, two at a time, as sides 1 and 2 (one that meets itself: 3).
+    So a task holds two blocks, whatever the key has."""
+    rows = bounded_join(_of(keys, "doc", comp, "c"), mixed, F.col("key") == F.col("mk"), "inner").withColumn("large", F.col("c") == F.col("inside"))
     if everywhere:
-        blocks = F.expr("CASE WHEN large OR blocks = 1 THEN array(own) ELSE sequence(0L, blocks - 1) END")
-        rows = rows.select("*", F.explode(blocks).alias("block"))
+        own = F.pmod(F.xxhash64("doc"), F.when(F.col("large"), F.col("ins")).otherwise(F.col("outs")))
+        rows = rows.withColumn("own", own)
+        meets = """CASE WHEN blocks = 1 THEN array(named_struct('block', 0L, 'side', 3))
+            WHEN large THEN transform(sequence(0L, outs - 1), o -> named_struct('block', o * (ins + outs) + own, 'side', 2))
+            ELSE concat(transform(sequence(0L, ins - 1), i -> named_struct('block', own * (ins + outs) + i, 'side', 1)),
+                transform(sequence(0L, outs - 1), o -> named_struct('block', least(o, own) * (ins + outs) + ins + greatest(o, own),
+                    'side', CASE WHEN o = own THEN 3 WHEN o > own THEN 1 ELSE 2 END))) END"""
+        rows = rows.select("*", F.explode(F.expr(meets)).alias("m")).select("*", "m.block", "m.side")
     else:
-        rows = rows.withColumn("block", F.col("own"))
-    rows = rows.join(info, F.col("doc") == F.col("id")).select("key", "block", "own", "doc", "c", "large", "size", "sketch")
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks"))).withColumn("side", F.lit(3))
+    rows = rows.join(info, F.col("doc") == F.col("id")).select("key", "block", "side", "doc", "c", "large", "size", "sketch")
     return rows.repartition("key", "block").sortWithinPartitions("key", "block")
 
 
@@ -460,7 +496,7 @@ def _by_group(groups: DataFrame, pairs_of) -> DataFrame:
         held: list[pa.RecordBatch] = []
 
         def give(t: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            x = {n: t.column(n).to_numpy() for n in ("key", "block", "own", "doc", "c", "large", "size")}
+            x = {n: t.column(n).to_numpy() for n in ("key", "block", "side", "doc", "c", "large", "size")}
             sketches = _Sketches(t.column("sketch").combine_chunks())
             for p, q in pairs_of(x, starts, np.append(starts[1:], t.num_rows)):
                 d = sketches.distances(p, q)
@@ -495,11 +531,10 @@ def _compared(keys: DataFrame, info: DataFrame, comp: DataFrame, mixed: DataFram
     """Plausible pairs of all documents of the mixed keys that are in different components."""
 
     def pairs_of(x: dict[str, np.ndarray], starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        c, own, block, large = x["c"], x["own"], x["block"], x["large"]
+        c, side, large = x["c"], x["side"], x["large"]
 
         def wanted(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            # two that are in every block are compared in one of them
-            good = (c[p] != c[q]) & (large[p] | large[q] | (np.minimum(own[p], own[q]) == block[p]))
+            good = (c[p] != c[q]) & ((side[p] | side[q]) == 3)
             return p[good], q[good]
 
         size = ends - starts
@@ -512,8 +547,9 @@ def _compared(keys: DataFrame, info: DataFrame, comp: DataFrame, mixed: DataFram
             yield wanted(p, p + k)
         for lo, hi in zip(starts[size > 64].tolist(), ends[size > 64].tolist(), strict=True):
             rest = np.arange(lo, hi)
-            for i in (np.flatnonzero(~large[lo:hi]) + lo).tolist():
-                others = rest[large[lo:hi] | (rest > i)]
+            right = rest[side[lo:hi] == 2]
+            for i in rest[~large[lo:hi] & (side[lo:hi] != 2)].tolist():
+                others = right if side[i] == 1 else rest[large[lo:hi] | (rest > i)]
                 yield wanted(np.full(len(others), i), others)
 
     return _by_group(_groups(keys, info, comp, mixed, True), pairs_of).distinct()

@@ -103,6 +103,52 @@ def test_similar_sets_share_a_key():
                 assert len(np.intersect1d(jaccard.part_keys(a), jaccard.part_keys(b)))
 
 
+def _without_spare(h, last):
+    """Keys of a set when in each band and space those in ``last``, then larger ones, are left out as far as the set can do without."""
+    keys, spare = jaccard._part_keys(h)
+    out = set()
+    for code in set((keys & np.uint64(255)).tolist()):
+        own = sorted((int(k) in last, int(k)) for k in np.unique(keys[(keys & np.uint64(255)) == code]))
+        out |= {k for _, k in own[: max(0, len(own) - int(spare[code & 3]))]}
+    return out
+
+
+def test_similar_sets_share_a_key_that_neither_can_spare():
+    rng = np.random.default_rng(8)
+    pairs = 0
+    for n in [1, 2, 3, 4, 5, 6, 8, 9, 12, 13, 19, 28, 50, 200, 900]:
+        for _ in range(60 if n < 300 else 5):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.int64).astype(np.uint64))
+            m = int(rng.integers(0, jaccard.differ(len(a), len(a)) + 1))
+            drop = int(rng.integers(0, m + 1))
+            b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 1 << 63, m - drop, dtype=np.int64).astype(np.uint64)]))
+            if jaccard.similar(a, b):
+                both = set(np.intersect1d(jaccard.part_keys(a), jaccard.part_keys(b)).tolist())
+                some = {k for k in both if rng.random() < 0.7}
+                pairs += 1
+                for last in (both, some, set()):  # shared keys are the most frequent, some of them are, none
+                    assert _without_spare(a, last) & _without_spare(b, last)
+    assert pairs > 200
+
+
+def test_a_phrase_that_all_share_brings_no_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, "a phrase of five words " + " ".join(f"w{rng.randrange(10**9)}" for _ in range(40))) for i in range(3000)]
+    rows += [(5000, rows[7][1] + " more"), (5001, rows[2999][1] + " end")]
+    seen = []
+    rarer = jaccard._rarer
+
+    def spied(keys, info, large):
+        out = rarer(keys, info, large)
+        seen.append((large.agg({"n": "max"}).first()[0], jaccard._mixed(out, spark.createDataFrame([], "node long, root long")).agg({"n": "max"}).first()[0]))
+        return out
+
+    monkeypatch.setattr(jaccard, "_rarer", spied)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == {i: {5000: 7, 5001: 2999}.get(i, i) for i, _ in rows}
+    assert seen and seen[0][0] > 100 and (seen[0][1] or 0) < 10
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(50)] + [(7, 7)]

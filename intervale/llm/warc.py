@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -150,49 +151,92 @@ def members(file, size: int, start: int, end: int) -> Iterator[tuple[int, bytes]
         damaged(pos)
 
 
-def parse(record: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
-    """(WARC headers, HTTP headers, payload) of one record; header names in lower case."""
-    head, _, rest = record.partition(b"\r\n\r\n")
-    fields = lambda raw: {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in raw.decode("utf-8", "replace").split("\r\n")[1:])}
-    warc = fields(head)
-    n = int(warc["content-length"])
-    if rest[n : n + 4] != b"\r\n\r\n":
-        raise ValueError("a record doesn't end where its length says")
-    http, _, payload = rest[:n].partition(b"\r\n\r\n")
-    return warc, fields(http), payload
+def _fields(raw: bytes) -> dict[str, str]:
+    """Header names in lower case; a line that begins with white space goes on with the one before."""
+    out, name = {}, ""
+    for line in raw.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t"):
+            out[name] = f"{out.get(name, '')} {line.strip()}"
+            continue
+        name, _, value = line.partition(":")
+        name = name.strip().lower()
+        out[name] = value.strip()
+    return out
+
+
+def parse(member: bytes) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
+    """(WARC headers, HTTP headers, payload) of the records of one member, as a rule one. A block that is no HTTP message is all payload."""
+    at = 0
+    while at < len(member):
+        end = member.find(b"\r\n\r\n", at)
+        warc = _fields(member[at:end]) if end >= 0 and member.startswith(b"WARC/1.", at) else {}
+        if not warc.get("content-length", "").isascii() or not warc.get("content-length", "").isdigit():
+            raise ValueError("bytes of a member are no record")
+        block = member[end + 4 : end + 4 + int(warc["content-length"])]
+        at = end + 4 + int(warc["content-length"])
+        if member[at : at + 4] != b"\r\n\r\n":
+            raise ValueError("a record doesn't end where its length says")
+        at += 4
+        if block.startswith(b"HTTP/") or warc.get("content-type", "").lower().startswith("application/http"):
+            head, _, payload = block.partition(b"\r\n\r\n")
+            yield warc, _fields(head), payload
+        else:
+            yield warc, {}, block
+
+
+def _has_digest(payload: bytes, declared: str) -> bool | None:
+    """Whether ``payload`` has the digest, ``algorithm:value`` in hex or base 32; None for algorithms not known here."""
+    name, _, value = declared.partition(":")
+    name, value = name.strip().lower().replace("-", ""), value.strip()
+    if name not in ("md5", "sha1", "sha256", "sha512"):
+        return None
+    own = hashlib.new(name, payload, usedforsecurity=False)
+    return value.lower() == own.hexdigest() or value.upper().rstrip("=") == base64.b32encode(own.digest()).decode().rstrip("=")
+
 
+READ = "file string, offset bigint, page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary, record_id string, refers_to_id string, sound boolean"
 
-READ = "file string, offset bigint, page_id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint, payload binary"
+
+def _row(file: str, at: int, warc: dict[str, str], http: dict[str, str], payload: bytes, payloads: bool) -> tuple:
+    def number(name: str | None) -> int | None:
+        digits = (name or "").removeprefix("<urn:page:").removesuffix(">")
+        return int(digits) if digits.isascii() and digits.isdigit() or digits[:1] == "-" and digits[1:].isdigit() else None
+
+    own_id, refers, kind = warc.get("warc-record-id"), warc.get("warc-refers-to"), warc.get("warc-type", "")
+    declared = warc.get("warc-payload-digest", "")
+    head = file, at, number(own_id), warc.get("warc-target-uri"), kind, number(refers)
+    if kind == "revisit":
+        name, _, value = declared.partition(":")
+        size = http.get("content-length", "")
+        hexes = value.lower() if name.lower() == "sha256" and len(value) == 64 else None
+        return *head, hexes, int(size) if size.isascii() and size.isdigit() else None, None, own_id, refers, None
+    whole = not {"warc-truncated", "warc-segment-number"} & warc.keys() and "transfer-encoding" not in http
+    sound = _has_digest(payload, declared) if declared and whole else None
+    if sound is False and (own_id or "").startswith("<urn:page:"):
+        raise ValueError(f"{file}, record at {at}: the payload doesn't have its digest")
+    return *head, hashlib.sha256(payload).hexdigest(), len(payload), payload if payloads else None, own_id, refers, sound
 
 
 def read_warc(spark: SparkSession, path: str, split: int = SPLIT, payloads: bool = True) -> DataFrame:
     """A row for each record below ``path``: file, offset, page_id, url, record_type, refers_to, payload_digest,
-    payload_bytes, payload (null for revisits, or without ``payloads``).
+    payload_bytes, payload (null for revisits, or without ``payloads``), record_id, refers_to_id, sound.
+
+    Archives of others are read as well: every type of record is a row, ``record_type`` as it stands there; a block that is no HTTP
+    message is the payload; page_id and refers_to are null unless the ids are those ``write_warc`` gives; payload_digest is the
+    payload's SHA-256, of revisits the declared one if it is that, and else null; payload_bytes of a revisit is null without a
+    length. ``sound`` tells whether the payload has the declared digest (MD5, SHA-1, SHA-256 or SHA-512, in hex or base 32), null where none
+    is declared or the payload is cut, segmented or in a transfer coding. Members may hold several records.
 
     Files are cut into ranges of ``split`` bytes; a task reads its range and what its last record needs beyond, so work
-    follows bytes, not files. A response whose payload does not have the digest it declares raises. Archives must be on
-    a file system pyarrow opens.
+    follows bytes, not files. A record of ``write_warc`` whose payload does not have its digest raises, as does a member that is
+    no record. Archives must be on a file system pyarrow opens.
     """
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
     files = [(str(x.getPath().toUri()), int(x.getLen())) for x in fs.listStatus(jpath) if x.isFile() and x.getLen() and x.getPath().getName()[0] not in "_."]
     ranges = [(f, n, at, min(at + split, n)) for f, n in files for at in range(0, n, split)]
     names = [x.split()[0] for x in READ.split(", ")]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
-
-    def number(name: str | None) -> int | None:
-        digits = (name or "").removeprefix("<urn:page:").removesuffix(">")
-        return int(digits) if digits else None
-
-    def row(file: str, at: int, record: bytes) -> tuple:
-        warc, http, payload = parse(record)
-        digest = warc["warc-payload-digest"].removeprefix("sha256:")
-        if warc["warc-type"] == "revisit":
-            return file, at, number(warc["warc-record-id"]), warc.get("warc-target-uri"), "revisit", number(warc["warc-refers-to"]), digest, int(http["content-length"]), None
-        own = hashlib.sha256(payload).hexdigest()
-        if own != digest:
-            raise ValueError(f"{file}, record at {at}: the payload doesn't have its digest")
-        return file, at, number(warc["warc-record-id"]), warc.get("warc-target-uri"), warc["warc-type"], None, own, len(payload), payload if payloads else None
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as pfs
@@ -203,7 +247,7 @@ def read_warc(spark: SparkSession, path: str, split: int = SPLIT, payloads: bool
                 with system.open_input_file(name) as f:
                     rows, held = [], 0
                     for at, record in members(f, size, start, end):
-                        rows.append(row(file, at, record))
+                        rows += (_row(file, at, *x, payloads) for x in parse(record))
                         held += len(record) if payloads else 100
                         if held > 4 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)

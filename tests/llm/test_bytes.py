@@ -1,5 +1,6 @@
 """Near duplicates, archives, encodings, media and the pipeline against brute force, the library and exact round trips."""
 
+import base64
 import gzip
 import hashlib
 import random
@@ -228,6 +229,40 @@ def test_warc_reader_raises_at_damage():
     assert next(found)[0] == size[0]
 
 
+def _foreign(kind, block, **fields):
+    head = [f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:0f1e>", "WARC-Date: 2020-02-02T00:00:00Z", *(f"{k.replace('_', '-')}: {v}" for k, v in fields.items()), f"Content-Length: {len(block)}"]
+    return "\r\n".join(["WARC/1.0", *head, "", ""]).encode() + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("split", [90, 1 << 20])
+def test_archives_of_others_are_read(spark, tmp_path, split):
+    body = b"<html>found</html>"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nX-Long: one\r\n two\r\n\r\n"
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+    info, ask = _foreign("warcinfo", b"software: none\r\n"), _foreign("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", Content_Type="application/http;msgtype=request")
+    answers = [
+        _foreign("response", http + body, WARC_Payload_Digest=sha1, WARC_Target_URI="http://x/"),
+        _foreign("response", http + body + b"!", WARC_Payload_Digest=sha1),
+        _foreign("response", http.replace(b"X-Long", b"Transfer-Encoding") + body, WARC_Payload_Digest="sha1:AAAA"),
+        _foreign("response", http + body[:3], WARC_Payload_Digest=sha1, WARC_Truncated="length"),
+        _foreign("resource", body, WARC_Payload_Digest="sha256:" + hashlib.sha256(body).hexdigest()),
+        _foreign("revisit", http[:-2] + b"\r\n", WARC_Payload_Digest=sha1, WARC_Refers_To="<urn:uuid:0f1e>"),
+        _foreign("metadata", b"", WARC_Payload_Digest="crc:1"),
+    ]
+    d = tmp_path / "w"
+    d.mkdir()
+    (d / "x.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in (info + ask, *answers)))
+    got = warc.read_warc(spark, f"file://{d}", split).orderBy("offset").collect()
+    assert sorted(r.record_type for r in got) == sorted(["warcinfo", "request", "response", "response", "response", "response", "resource", "revisit", "metadata"])
+    assert [r.sound for r in got if r.record_type == "response"] == [True, False, None, None]
+    by = {r.record_type: r for r in got}
+    assert by["resource"].sound and by["resource"].payload == body and by["metadata"].sound is None and by["metadata"].payload == b""
+    assert by["revisit"].refers_to_id == "<urn:uuid:0f1e>" and by["revisit"].payload_bytes is None and by["revisit"].payload_digest is None
+    assert all(r.page_id is None and r.refers_to is None and r.record_id == "<urn:uuid:0f1e>" for r in got)
+    assert by["request"].payload == b"" and by["warcinfo"].payload == b"software: none\r\n"
+    assert got[-1].payload_digest == hashlib.sha256(b"").hexdigest()
+
+
 @pytest.fixture(scope="module")
 def model():
     path = pieces.default_model()

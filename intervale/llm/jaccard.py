@@ -28,6 +28,8 @@ LARGE, BLOCK = 32, 2048
 #: Members of a large key's largest component that other documents are first tried with, in one of SOME of their large keys; and rounds in
 #: which each document's nearest is verified before all that is left.
 TRIES, SOME, ROUNDS = 32, 8, 2
+#: Partners of a document that one row lists.
+PARTNERS = 1000
 #: Rows, with their texts or sets, sent to Python at a time.
 BATCH = 500
 #: Part keys that a task pre-aggregates at a time.
@@ -302,7 +304,8 @@ def linked(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     pairs = staged(pairs, "pairs")
     few = pairs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # each pair is a number in one of the lists
-    ours = pairs.groupBy("a").agg(F.collect_list("b").alias("others"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+    ours = pairs.withColumn("part", F.floor(place / PARTNERS)).groupBy("a", "part").agg(F.collect_list("b").alias("others")).drop("part")
     hubs = staged(pairs.select(F.col("b").alias("hub")).distinct(), "hubs")
     left = _raw(docs.join(F.broadcast(ours) if few else ours, F.col("doc_id") == F.col("a")), "others").mapInArrow(run_a, "a bigint, b bigint, ha binary")
     right = _raw(bounded_join(docs, hubs, F.col("doc_id") == F.col("hub"), "left_semi")).mapInArrow(run_b, "to bigint, hb binary")

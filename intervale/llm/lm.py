@@ -27,6 +27,7 @@ from intervale.llm.pitman_yor import BURN, SAMPLES, Model, discount_of, mixed, s
 #: A word is a symbol of its own from one in so many tokens on; so there are at most so many.
 FREQUENT = 1000
 #: A word's count and probability are broadcast from one in so many tokens on: at most 24 bytes times this. Rarer ones are joined.
+#: Not below FREQUENT: fitting and scoring know a context's symbol from the broadcast words.
 BROADCAST = 1_000_000
 #: Tokens whose pairs a task counts before it passes them on.
 PAIRS = 2_000_000

@@ -91,6 +91,27 @@ def test_small_blocks_find_the_same(spark, copies, monkeypatch):
     assert got == _components(copies)
 
 
+def test_lists_of_partners_in_several_rows_find_the_same(spark, copies, monkeypatch):
+    monkeypatch.setattr(jaccard, "PARTNERS", 2)
+    d = spark.createDataFrame(copies, "doc_id long, text string").repartition(5)
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(d).collect())
+    assert got == _components(copies)
+
+
+def test_no_row_lists_more_partners_than_stated(spark, monkeypatch):
+    """A document linked with many others keeps every link."""
+    monkeypatch.setattr(jaccard, "PARTNERS", 3)
+    base = [f"s{k}" for k in range(200)]
+    rows = [(i, " ".join([*base, f"own{i}"])) for i in range(11)]
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 11)] + [(1, 2)], "a bigint, b bigint")
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    seen, raw = [], jaccard._raw
+    monkeypatch.setattr(jaccard, "_raw", lambda df, *more: (seen.append(df) if "others" in df.columns else None, raw(df, *more))[1])
+    assert sorted(map(tuple, jaccard.linked(pairs, d).collect())) == sorted([(0, i) for i in range(1, 11)] + [(1, 2)])
+    lists = [r.others for r in seen[0].select("others").collect()]
+    assert max(map(len, lists)) <= 3 and sorted(x for o in lists for x in o) == sorted([*range(1, 11), 2])
+
+
 def test_similar_sets_share_a_key():
     rng = np.random.default_rng(3)
     for n in [1, 2, 4, 5, 6, 7, 9, 13, 20, 50, 200, 1500]:

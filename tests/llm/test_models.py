@@ -234,6 +234,86 @@ def test_every_word_is_a_context(spark):
     assert got[rare[0]].score > got[rare[1]].score + 200
 
 
+def _lm_texts():
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" if i % 3 else f"é{i}ß" for i in range(400)]
+    zipf = 1 / np.arange(1, 401)
+    rows = [(i, " ".join(words[k] for k in rng.choice(400, rng.integers(0, 60), p=zipf / zipf.sum()))) for i in range(160)]
+    return [*rows, *((200 + i, t) for i, t in rows[:12]), (None, "W1 w1  w1\tw1"), (400, None), (401, ""), (402, "never met\xa0 w1 NEVER met"), (403, "w2 w1 w2 w1 w2 w1")]
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 60, 40])  # not below FREQUENT: frequent words have to be among the broadcast ones
+def test_lm_score_by_brute_force(spark, monkeypatch, broadcast):
+    """Each token from counts held in dictionaries; with few broadcast words and pairs the others meet theirs by joins."""
+    monkeypatch.setattr(lm, "BROADCAST", broadcast)
+    monkeypatch.setattr(lm, "FREQUENT", 40)
+    rows = _lm_texts()
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    split = [(lm.tokens((t or "").encode()), held("" if i is None else i, 10)) for i, t in rows]
+    assert {aside for _, aside in split} == {True, False}
+    shared = lm.fit(d.where(~(common.fold(d.doc_id, 10) == 0)).select("text"))[0]
+    symbols, size = lm.Symbols(shared.frequent, shared.hashes), len(shared.hashes)
+    f = len(shared.frequent)
+    known, follow = Counter(), {}
+    for ws, aside in split:
+        if not aside:
+            known.update(ws)
+            for u, w in zip([None, *ws], [*ws, None], strict=True):
+                follow.setdefault(u, Counter())[w] += 1
+    each = [n for ws in follow.values() for n in ws.values()]
+    one, two = each.count(1), each.count(2)
+    discount = min(0.95, max(0.05, one / (one + 2 * two)))
+
+    def identity(w):
+        return np.array([0 if w is None else next((i + 1 for i in range(size) if int(shared.hashes[i]) == lm._hash(w)), None) or np.uint64(lm._hash(w)).astype(np.int64)])
+
+    def parent(context, w):
+        if w is None:
+            return float(shared.table[context, symbols.end])
+        x = symbols[w] & 0xFFFFFFFF
+        own, k = 0.0, np.array([w[-1]])
+        if x >= f:
+            own = shared.speller.log10([w])
+            own = shared.classes.log10(k, np.array([float(known[w])]), np.array([lm._hash(w)], np.uint64), own) if known[w] else own + np.log10(shared.classes.left(k))
+            own = float(own[0])
+        return float(shared.table[context, x]) + own
+
+    def restaurant(u):
+        """What each dish and the parent get, averaged over the samples; dishes met once have one table."""
+        ws = list(follow.get(u, {}))
+        if not ws:
+            return {}, 1.0
+        n = np.array([float(follow[u][w]) for w in ws])
+        x = None if u is None else symbols[u] & 0xFFFFFFFF
+        # the parent of a restaurant of a word that is not frequent is what is predicted from no context at all
+        at = 2 * f if u is None else x if x < f else len(shared.table) - 1
+        base = 10.0 ** np.array([parent(at, w) for w in ws])
+        key = pitman_yor.mixed(np.concatenate([lm._pair_key(identity(u), identity(w)) for w in ws]))
+        t, gives, left = np.ones(len(ws)), np.zeros(len(ws)), 0.0
+        for sweep in range(pitman_yor.BURN + pitman_yor.SAMPLES):
+            t = pitman_yor.seat(n, (1 + discount * t.sum()) * base, discount, key, sweep)
+            if sweep >= pitman_yor.BURN:
+                gives += (n - discount * t) / (1 + n.sum()) / pitman_yor.SAMPLES
+                left += (1 + discount * t.sum()) / (1 + n.sum()) / pitman_yor.SAMPLES
+        return dict(zip(ws, gives, strict=True)), left
+
+    tables, want = {}, []
+    for (i, _), (ws, _) in zip(rows, split, strict=True):
+        score, last = 0.0, None
+        for k, (u, w) in enumerate(zip([None, *ws], [*ws, None], strict=True)):
+            frequent = u is not None and symbols[u] & 0xFFFFFFFF < f
+            last = symbols[u] & 0xFFFFFFFF if frequent else last
+            context = 2 * f if k == 0 else last if frequent else 2 * f + 1 if last is None else f + last
+            if u not in tables:
+                tables[u] = restaurant(u)
+            gives, left = tables[u]
+            score += math.log10(gives.get(w, 0.0) + left * 10 ** parent(context, w))
+        want.append((-1 if i is None else i, score))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in lm.lm_scores(d).collect())
+    assert [i for i, _ in got] == [i for i, _ in sorted(want)]
+    assert [s for _, s in got] == pytest.approx([s for _, s in sorted(want)], rel=2e-5, abs=2e-4)
+
+
 def test_model_is_normalised():
     rng = np.random.default_rng(0)
     code = np.unique(rng.integers(0, 200, 90))

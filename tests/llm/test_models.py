@@ -3,6 +3,7 @@
 import math
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -314,6 +315,24 @@ def test_lm_score_by_brute_force(spark, monkeypatch, broadcast):
     assert [s for _, s in got] == pytest.approx([s for _, s in sorted(want)], rel=2e-5, abs=2e-4)
 
 
+def test_lm_keeps_little_on_disk(spark, monkeypatch):
+    """What was read for the last time is deleted; blobs of sorted columns give back what they were made of, in few bytes."""
+    staged = Path(common.shared_dir(spark).removeprefix("file://"), "staged")
+    before = set(staged.glob("*"))
+    monkeypatch.setattr(lm, "BROADCAST", 40)
+    monkeypatch.setattr(lm, "FREQUENT", 40)
+    lm.fit(spark.createDataFrame([(t,) for _, t in _lm_texts()], "text string"))
+    assert sorted(p.name.rsplit("-", 1)[0] for p in set(staged.glob("*")) - before) == ["restaurants", "words-scored"]
+    rng = np.random.default_rng(3)
+    columns = np.sort(rng.integers(-(2**63), 2**63 - 1, 5000)), rng.integers(0, 9, 5000), rng.random(5000).astype(np.float32).astype(float).view(np.int64)
+    blob = lm._dealt(np.arange(5000) % 2, 3, *columns)
+    assert blob.column(0).to_pylist() == [0, 1] and blob.column(2).to_pylist() == [2500, 2500]
+    for part, n, raw in zip(*(blob.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+        assert (lm._unpack(raw, n, 3) == np.stack([c[part::2] for c in columns])).all()
+        assert len(raw) < 13 * n
+    assert (lm._unpack(lm._pack(columns[0][:1]), 1, 1) == columns[0][:1]).all()
+
+
 def test_model_is_normalised():
     rng = np.random.default_rng(0)
     code = np.unique(rng.integers(0, 200, 90))

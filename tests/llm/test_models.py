@@ -1,11 +1,14 @@
 """Classifiers and the language model: accuracy on rows not learnt from, gradients, seating, awkward rows."""
 
+import gc
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -333,6 +336,41 @@ def test_lm_keeps_little_on_disk(spark, monkeypatch):
     assert (lm._unpack(lm._pack(columns[0][:1]), 1, 1) == columns[0][:1]).all()
 
 
+def test_lm_words_as_split_and_hashed_one_by_one():
+    rng = np.random.default_rng(7)
+    odd = [None, b"", b" ", b"End", b"begin A-Z\xff\x00b", "É\xa0é \x85 ß".encode() + b"\x1c\x1f \x0b\x0c", *(b"Qz9"[i % 3 : i % 3 + 1] * i for i in range(1, 41))]
+    texts = [*odd, *(bytes(rng.choice(list(b"aZ \t\n\xc3\xa9"), rng.integers(0, 90))) for _ in range(300))]
+    words = sorted({w for t in texts for w in lm.tokens(t)}, key=lm._hash)
+    known = np.sort(np.array([lm._hash(w) for w in words[::2]], np.uint64))
+    s = lm.Symbols(known[::10].copy(), known)
+    column = pa.array([b"left out", *texts], pa.binary())[1:]
+    seen = []
+    for i, j, t in lm._texts(column):
+        got, seen = s.read(t), [*seen, *range(i, j)]
+        want = [w for x in texts[i:j] for w in [*lm.tokens(x), None]]
+        assert got.text.tolist() == [k for k, x in enumerate(texts[i:j]) for _ in [*lm.tokens(x), None]]
+        at = np.array([k for k, w in enumerate(want) if w is not None])
+        assert got.words(at) == [want[k] for k in at]
+        place = {int(h): k for k, h in enumerate(known, 1)}
+        ids = [0 if w is None else place.get(lm._hash(w)) or int(np.uint64(lm._hash(w)).astype(np.int64)) for w in want]
+        assert got.w.tolist() == ids and got.u.tolist() == [0, *ids[:-1]]
+        assert got.symbol.tolist() == [s.end if w is None else s[w] for w in want]
+    assert seen == list(range(len(texts)))
+
+
+def test_lm_reading_keeps_no_words():
+    """What a worker has read is gone: a corpus of ever new words takes no more memory than one of few."""
+    s = lm.Symbols(np.empty(0, np.uint64), np.array([1], np.uint64))
+    column = pa.array([" ".join(f"w{i}x{k}" for k in range(1000)).encode() for i in range(200)], pa.binary())
+    tracemalloc.start()
+    try:
+        tokens = sum(len(s.read(t).text) for _, _, t in lm._texts(column))
+        gc.collect()
+        assert tokens == 200 * 1001 and tracemalloc.get_traced_memory()[0] < 5_000_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_model_is_normalised():
     rng = np.random.default_rng(0)
     code = np.unique(rng.integers(0, 200, 90))

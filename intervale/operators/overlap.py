@@ -22,6 +22,8 @@ WIDE = 1 << WIDE_BITS
 FEW = 2048
 #: Regions up to which a query set is a filter.
 MOST_LITERALS = 100
+#: How many bytes of a hashed table a byte of compressed columns may become.
+PACKED = 16
 #: Positions of one sweep range of ``rank``.
 RANGE_BITS = 20
 
@@ -59,6 +61,17 @@ def _renamed(queries: DataFrame) -> DataFrame:
     return queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns))
 
 
+def _dealt(rows: DataFrame, times: int) -> DataFrame:
+    """Rows of an ``explode`` that makes some ``times`` as many, for a join by sorting unless they are sure to be few: Spark expects no more
+    of them than before, and would broadcast by that what the driver can't hold. Of a stream it knows nothing beforehand."""
+    state = rows.sparkSession._jsparkSession.sessionState()
+    if not rows.isStreaming:
+        size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if size * times * PACKED <= state.conf().autoBroadcastJoinThreshold():
+            return rows
+    return rows.hint("merge")
+
+
 def overlap_binned(queries: DataFrame, corpus: DataFrame, wide: bool | None = None, levels: dict[int, int] | None = None) -> DataFrame:
     """Pairs, as the query's columns with the prefix ``q_`` and the corpus's columns.
 
@@ -90,12 +103,12 @@ def _met_in_bins(q: DataFrame, c: DataFrame, wide: bool | None, levels: list[int
     probe = q.withColumn("q_to", F.when(long, F.col("q_start")).otherwise(F.col("q_end"))) if wide else q.withColumn("q_to", F.col("q_end"))
     probe = probe.withColumn("q_at", F.explode(_query_bins("q_start", "q_to", levels)))
     meets = (probe["q_chrom"] == c["chrom"]) & (probe["q_at.level"] == c["level"]) & (probe["q_at.bin"] == c["bin"])
-    both = probe.join(c, meets & (c["start"] <= probe["q_to"]) & (c["end"] >= probe["q_start"])).select(*names)
+    both = _dealt(probe, len(levels)).join(c, meets & (c["start"] <= probe["q_to"]) & (c["end"] >= probe["q_start"])).select(*names)
     if not wide:
         return both
     inside = q.where(long).withColumn("q_at", F.explode(F.expr(f"sequence(shiftright(q_start, {WIDE_BITS}), shiftright(q_end, {WIDE_BITS}))")))
     meets = (inside["q_chrom"] == c["chrom"]) & (inside["q_at"] == F.shiftright(c["start"], WIDE_BITS))
-    return both.union(inside.join(c, meets & (c["start"] > inside["q_start"]) & (c["start"] <= inside["q_end"]) & (c["start"] <= c["end"])).select(*names))
+    return both.union(_dealt(inside, len(levels)).join(c, meets & (c["start"] > inside["q_start"]) & (c["start"] <= inside["q_end"]) & (c["start"] <= c["end"])).select(*names))
 
 
 def overlap_naive(queries: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -71,6 +71,15 @@ def test_binned_plan_is_an_equi_join(spark, diagram):
     assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
+def test_exploded_queries_are_not_broadcast(spark, diagram, tmp_path):
+    """Spark's estimate is of the queries before they are dealt over the levels."""
+    spark.range(400_000).select(F.lit("1").alias("chrom"), F.col("id").alias("start"), (F.col("id") + 9).alias("end")).write.parquet(str(tmp_path / "q"))
+    plan = lambda q: O.overlap_binned(q, diagram, wide=False, levels=dict.fromkeys(O.LEVELS, 1 << 62))._jdf.queryExecution().executedPlan().toString()
+    many = spark.read.parquet(str(tmp_path / "q"))
+    assert "SortMergeJoin" in plan(many) and "Broadcast" not in plan(many)
+    assert "BroadcastHashJoin" in plan(many.limit(5))
+
+
 def test_edges(spark):
     i = from_rows(spark, [("a", "chr1", 1, 5), ("a", "1", 7, 7), ("b", "1", 6, 9)])
     assert Search(i, "1:5-5").total() == 1 and Search(i, "1:7-7").total() == 2 and Search(i, "1:10-12").total() == 0

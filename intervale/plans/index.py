@@ -31,6 +31,7 @@ class IntervalIndex:
         self.intervals, self._files, self.conf = intervals, files, conf or []
         self._n_files: int | None = None
         self._levels: dict[int, int] | None = None
+        self._names: DataFrame | None = None  # where ``files`` would read the corpus once more
 
     def n_files(self) -> int:
         if self._n_files is None:
@@ -92,7 +93,10 @@ class IntervalIndex:
             raise FileExistsError(f"{path} already exists")
         beside = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
         self._write(self.intervals, f"{beside}/intervals", "errorifexists", compression)
-        self._files.coalesce(1).write.parquet(f"{beside}/files")
+        files = self._files
+        if self._names is not None:  # statistics of what was written, so that the corpus is read once
+            files = _counted(self._names, spark.read.schema(self.intervals.schema).parquet(f"{beside}/intervals"), "file_id")
+        files.coalesce(1).write.parquet(f"{beside}/files")
         conf = json.dumps([[c.position, c.name, c.kind, c.size] for c in self.conf])
         spark.createDataFrame([(conf,)], "value string").coalesce(1).write.text(f"{beside}/conf")
         fs.delete(target, True)
@@ -115,13 +119,18 @@ def from_corpus(corpus: Corpus, conf: list[MetaColumn] | None = None, payload: d
     extra = [typed(F.col("line"), conf).alias("meta")] if conf else []
     if payload:
         extra.append(F.struct(*(c.alias(n) for n, c in payload.items())).alias("payload"))
-    stats = file_statistics(corpus.intervals).withColumnRenamed("file_name", "_f")
-    files = names.join(stats, F.col("file_name") == F.col("_f"), "left").select("file_id", "file_name", F.coalesce("num_intervals", F.lit(0)).cast("long").alias("num_intervals"), "mean_interval_size")
+    files = _counted(names, corpus.intervals, "file_name")
     out = IntervalIndex(rows.select("interval_id", "file_id", "chrom", "start", "end", "level", "bin", "row_ord", "line", *extra), files, conf)
-    out._n_files = n_files
+    out._n_files, out._names = n_files, names
     return out
 
 
+def _counted(names: DataFrame, intervals: DataFrame, by: str) -> DataFrame:
+    """Every file of ``names`` with the statistics of its intervals."""
+    stats = file_statistics(intervals, by).withColumnRenamed(by, "_f")
+    return names.join(stats, F.col(by) == F.col("_f"), "left").select("file_id", "file_name", F.coalesce("num_intervals", F.lit(0)).cast("long").alias("num_intervals"), "mean_interval_size")
+
+
 def build_index(spark: SparkSession, pattern: str, out: str | None = None, conf: list[MetaColumn] | None = None, force: bool = False, payload: dict[str, Column] | None = None) -> IntervalIndex:
     """The index of all files a glob matches. ``conf``: typed metadata of the lines; ``payload``: columns computed from ``line``
     and kept with each interval; ``out``: where it is saved and loaded from again."""

@@ -4,6 +4,7 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from intervale.sources import bgzf
 from intervale.sources import readers as R
@@ -77,3 +78,24 @@ def test_large_files_are_read_in_ranges(spark, tmp_path):
         assert sorted(r[1:3] for r in rows if r[0].endswith("plain.bed.gz")) == want
         assert c.names.join(c.intervals, "file_name", "left_semi").count() == 3
     assert len(got[before]) == 2 * len(want) + 1 and got["2000"] == got[before]
+
+
+def test_named_files_are_packed_by_many_tasks(spark, tmp_path):
+    """A file is blocked gzip in its lines' order, whole, from as many tasks as it is long; ids don't hang on them."""
+    rows = spark.range(60_000).select(F.when(F.col("id") % 9 == 0, "b").otherwise("a").alias("file_name"), F.concat_ws("\t", F.lit("chr1"), "id", F.col("id") + 5, F.md5(F.col("id").cast("string"))).alias("line"), (-F.col("id")).alias("back"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        R.write_named(rows, str(tmp_path / "o"), ".bed.gz", order=["back"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    for name in "ab":
+        data = (tmp_path / "o" / f"{name}.bed.gz").read_bytes()
+        ids = [int(x.split(b"\t")[1]) for x in gzip.decompress(data).splitlines()]
+        assert ids == [i for i in range(59_999, -1, -1) if (i % 9 == 0) == (name == "b")]
+        assert bgzf.member_size(data[:99]) is not None
+        last = sum(0 < len(text) < bgzf.TEXT for _, text in bgzf.members(File(data), len(data), 0))  # of each task
+        assert last > (name == "a")
+    c = R.read_intervals(spark, f"{tmp_path}/o/*.gz").intervals
+    assert c.count() == 60_000
+    assert c.where("file_name LIKE '%/a.bed.gz' AND start = 59999").first().row_ord == 0
